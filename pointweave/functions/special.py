@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _continued_fraction(term, tiny: float = 1e-300, eps: float = 1e-15, limit: int = 10000) -> float:
@@ -75,16 +76,16 @@ def _null_safe(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([None if any(math.isnan(v) for v in row) else fn(*row) for row in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _null_safe(normal_two_sided, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return _null_safe(student_two_sided, r, n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return _null_safe(lambda x, k: upper_gamma(k / 2, x / 2), statistic, dof)

@@ -12,13 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .cells import box_pairs
 from ..functions.columns import one_row
 from ..session import cut
 
 BLOCK_POINTS = 2048
+# Block boxes (five numbers each) held by every task up to this many.
+SMALL_BOXES = 4096
 _CURVE_BITS = 31
 # Masks that space out the bits of a 31-bit number, one per doubling step.
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333),
@@ -53,7 +55,8 @@ def point_blocks(df: DataFrame, x: str, y: str, carry: str, size: int = BLOCK_PO
     """
     carried_type = df.schema[carry].dataType
     named = df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(carry).alias("carried"))
-    ordered = (with_curve_position(named, "x", "y").repartitionByRange("z", "carried").sortWithinPartitions("z", "carried").drop("z"))
+    ordered = (with_curve_position(named, "x", "y").repartitionByRange("z", "carried")
+               .sortWithinPartitions("z", "carried").drop("z"))
     schema = T.StructType([
         T.StructField("box_id", T.LongType()), T.StructField("min_x", T.DoubleType()),
         T.StructField("min_y", T.DoubleType()), T.StructField("max_x", T.DoubleType()),
@@ -98,16 +101,40 @@ def grown(blocks: DataFrame, margin: Column) -> DataFrame:
                          (F.col("max_x") + pad).alias("max_x"), (F.col("max_y") + pad).alias("max_y"))
 
 
-def block_pairs(a: DataFrame, b: DataFrame, margin: Column, triangular: bool = False) -> DataFrame:
+def _near_boxes(a: DataFrame, boxes: pd.DataFrame) -> DataFrame:
+    """Pairs of intersecting boxes when one side is a small, checked table that every task can hold."""
+    ids, x0, y0, x1, y1 = (boxes[c].to_numpy() for c in ("box_id", "min_x", "min_y", "max_x", "max_y"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                hit = ids[(x0 <= r.max_x) & (x1 >= r.min_x) & (y0 <= r.max_y) & (y1 >= r.min_y)]
+                yield pd.DataFrame({"a_id": np.full(len(hit), r.box_id), "b_id": hit})
+
+    return a.mapInPandas(near, "a_id bigint, b_id bigint")
+
+
+def block_pairs(a: DataFrame, b: DataFrame, margin: Column, triangular: bool = False,
+                spread_by: tuple[Column | str, ...] = ("a_id", "b_id")) -> DataFrame:
     """Both blocks of every pair whose boxes come within ``margin``, as columns ``a_*`` and ``b_*``.
 
-    ``triangular`` keeps unordered pairs of one block table joined with itself.
+    ``triangular`` keeps unordered pairs of one block table joined with itself. Up to SMALL_BOXES boxes are matched in
+    the tasks that hold the other side; more go through the cell join. The result has a fixed number of partitions,
+    hashed by ``spread_by``: the cost of a pair is not in its bytes, which is what adaptive coalescing looks at.
     """
     boxes_b = grown(b, F.lit(0.0))
-    pairs = box_pairs(grown(a, margin), boxes_b, b.count())
+    few = boxes_b.limit(SMALL_BOXES + 1).toPandas()
+    if len(few) <= SMALL_BOXES:
+        pairs = _near_boxes(grown(a, margin), few)
+    else:
+        pairs = box_pairs(grown(a, margin), boxes_b, b.count())
     if triangular:
         pairs = pairs.filter(F.col("a_id") <= F.col("b_id"))
-    names = ("n", "xs", "ys", "carried")
-    left = a.select(F.col("box_id").alias("a_id"), *[F.col(n).alias("a_" + n) for n in names if n in a.columns])
-    right = b.select(F.col("box_id").alias("b_id"), *[F.col(n).alias("b_" + n) for n in names if n in b.columns])
-    return pairs.join(left, "a_id").join(right, "b_id")
+    names = [n for n in ("n", "xs", "ys", "carried")]
+    left = a.select(F.col("box_id").alias("a_id"), *[F.col(n).alias("a_" + n) for n in names])
+    right = b.select(F.col("box_id").alias("b_id"), *[F.col(n).alias("b_" + n) for n in names])
+    return pairs.join(left, "a_id").join(right, "b_id").repartition(task_count(a.sparkSession), *spread_by)
+
+
+def task_count(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))

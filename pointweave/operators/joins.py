@@ -19,6 +19,8 @@ BROADCAST_EDGES = 2_000_000
 CELLS_PER_POLYGON = 4
 # A query table up to this size is held by every task; larger ones take the block route.
 SMALL_QUERIES = 1024
+# Points per block in nearest-neighbour searches: small, since a block's reach grows with its box.
+KNN_BLOCK = 256
 
 
 # Point in polygon ------------------------------------------------------------------------------------------------
@@ -163,37 +165,48 @@ def count_within(queries: DataFrame, data: DataFrame, radius: float, query_id: s
                 yield pd.DataFrame({"query_id": np.asarray(row.a_carried)[some], "part": hits[some]})
 
     schema = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField("part", T.LongType())])
-    parts = _wide(block_pairs(q_blocks, d_blocks, F.lit(float(radius)))).mapInPandas(count_pairs, schema)
+    parts = block_pairs(q_blocks, d_blocks, F.lit(float(radius))).mapInPandas(count_pairs, schema)
     counted = parts.groupBy("query_id").agg(F.sum("part").alias("neighbours"))
     return every.join(counted, "query_id", "left").fillna(0, ["neighbours"])
 
 
-def _wide(pairs: DataFrame) -> DataFrame:
-    """Spread block pairs evenly over the tasks: their cost is in the pair, not in its bytes."""
-    return pairs.repartition(_tasks(pairs))
-
-
-def _tasks(df: DataFrame) -> int:
-    sc = df.sparkSession.sparkContext
-    return max(sc.defaultParallelism * 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _closest(table: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k smallest (distance, id) rows per query."""
-    table = table.sort_values(["query_id", "gap", "data_id"], kind="stable")
-    return table[table.groupby("query_id", sort=False).cumcount() < k]
-
-
-def _candidates(qid: np.ndarray, qx: np.ndarray, qy: np.ndarray, did: np.ndarray, dx: np.ndarray, dy: np.ndarray,
-                k: int, limit: np.ndarray | None = None) -> pd.DataFrame:
-    """Points no farther than the k-th closest of this chunk (and than ``limit``), ties included."""
-    gx, gy = dx[None, :] - qx[:, None], dy[None, :] - qy[:, None]
-    gap = gx * gx + gy * gy
-    bar = np.partition(gap, k - 1, axis=1)[:, k - 1] if gap.shape[1] > k else np.full(len(qid), np.inf)
-    if limit is not None:
-        bar = np.minimum(bar, limit)
-    rows, cols = np.nonzero(gap <= bar[:, None])
-    return _closest(pd.DataFrame({"query_id": qid[rows], "data_id": did[cols], "gap": gap[rows, cols]}), k)
+def _closest(query: np.ndarray, id: np.ndarray, gap: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k smallest (gap, id) entries per query, sorted by query."""
+    order = np.lexsort((id, gap, query))
+    query, id, gap = query[order], id[order], gap[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+    return query[rank < k], id[rank < k], gap[rank < k]
+
+
+class _Best:
+    """The k closest points found so far for a fixed array of queries."""
+
+    def __init__(self, qid: np.ndarray, qx: np.ndarray, qy: np.ndarray, k: int):
+        self.qid, self.qx, self.qy, self.k = qid, qx, qy, k
+        self.bar = np.full(len(qid), np.inf)
+        self.rows = (np.empty(0, "int64"), None, np.empty(0))
+
+    def add(self, did: np.ndarray, dx: np.ndarray, dy: np.ndarray, step: int = 256) -> None:
+        found = [] if self.rows[1] is None else [self.rows]
+        for s in range(0, len(self.qid), step):
+            part = slice(s, s + step)
+            gx, gy = dx[None, :] - self.qx[part, None], dy[None, :] - self.qy[part, None]
+            gap = gx * gx + gy * gy
+            bar = self.bar[part]
+            if gap.shape[1] > self.k and not np.isfinite(bar).all():
+                bar = np.minimum(bar, np.partition(gap, self.k - 1, axis=1)[:, self.k - 1])
+            rows, cols = np.nonzero(gap <= bar[:, None])
+            found.append((rows + s, did[cols], gap[rows, cols]))
+        self.rows = _closest(*[np.concatenate(c) for c in zip(*found)], self.k)
+        query, _, gap = self.rows
+        full = np.bincount(query, minlength=len(self.qid)) >= self.k
+        self.bar = np.full(len(self.qid), np.inf)
+        np.maximum.at(worst := np.full(len(self.qid), -np.inf), query, gap)
+        self.bar[full] = worst[full]
+
+    def table(self) -> pd.DataFrame:
+        query, id, gap = self.rows
+        return pd.DataFrame({"query_id": self.qid[query], "data_id": [] if id is None else id, "gap": gap})
 
 
 def nearest_neighbours(queries: DataFrame, data: DataFrame, k: int, query_id: str = "id", data_id: str = "id",
@@ -217,25 +230,14 @@ def nearest_neighbours(queries: DataFrame, data: DataFrame, k: int, query_id: st
 
 def _scan_for(queries: pd.DataFrame, k: int):
     """One pass over the data with a small, checked query table: each task keeps its k best per query."""
-    qid, qx, qy = (queries[c].to_numpy() for c in ("id", "x", "y"))
+    columns = [queries[c].to_numpy() for c in ("id", "x", "y")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+        best = _Best(*columns, k)
         for batch in batches:
-            if not len(batch) or not len(qid):
-                continue
-            did, dx, dy = (batch[c].to_numpy() for c in ("id", "x", "y"))
-            limit = np.full(len(qid), np.inf)
-            if best is not None:
-                worst = best.groupby("query_id")["gap"].agg(["max", "size"])
-                worst = worst["max"].where(worst["size"] >= k, np.inf)
-                limit = worst.reindex(qid).fillna(np.inf).to_numpy()
-            step = 128
-            chunks = [_candidates(qid[s:s + step], qx[s:s + step], qy[s:s + step], did, dx, dy, k, limit[s:s + step])
-                      for s in range(0, len(qid), step)]
-            best = _closest(pd.concat(([] if best is None else [best]) + chunks, ignore_index=True), k)
-        if best is not None:
-            yield best
+            if len(batch) and len(columns[0]):
+                best.add(*[batch[c].to_numpy() for c in ("id", "x", "y")])
+        yield best.table()
 
     return scan
 
@@ -246,8 +248,8 @@ def _block_candidates(q: DataFrame, d: DataFrame, k: int, schema: T.StructType)
     place = Window.partitionBy("x", "y").orderBy("id")
     d = d.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k).drop("nth")
     n_q, n_d = q.count(), d.count()
-    size = int(min(2048, max(16, 2048 * n_q / max(1, n_d))))
-    q_blocks, d_blocks = point_blocks(q, "x", "y", "id", size), point_blocks(d, "x", "y", "id")
+    size = int(min(KNN_BLOCK, max(16, KNN_BLOCK * n_q / max(1, n_d))))
+    q_blocks, d_blocks = point_blocks(q, "x", "y", "id", size), point_blocks(d, "x", "y", "id", KNN_BLOCK)
 
     # Count data points per cell at every level, from the finest up.
     both = q_blocks.select("min_x", "min_y", "max_x", "max_y").unionByName(
@@ -278,10 +280,18 @@ def _block_candidates(q: DataFrame, d: DataFrame, k: int, schema: T.StructType)
     q_boxes = q_blocks.join(radii, "box_id", "left").withColumn("reach", F.coalesce("reach", everything))
 
     def closest_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, best = None, None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield _candidates(*[np.asarray(v) for v in (
-                    row.a_carried, row.a_xs, row.a_ys, row.b_carried, row.b_xs, row.b_ys)], k)
+                if row.a_id != current:
+                    if best is not None:
+                        yield best.table()
+                    current = row.a_id
+                    best = _Best(*[np.asarray(v) for v in (row.a_carried, row.a_xs, row.a_ys)], k)
+                best.add(*[np.asarray(v) for v in (row.b_carried, row.b_xs, row.b_ys)])
+        if best is not None:
+            yield best.table()
 
-    pairs = block_pairs(q_boxes, d_blocks, F.col("reach"))
-    return _wide(pairs).mapInPandas(closest_pairs, schema)
+    # Pairs of one query block mostly meet in one task, yet a block with very many partners uses several.
+    pairs = block_pairs(q_boxes, d_blocks, F.col("reach"), spread_by=("a_id", F.pmod("b_id", F.lit(3))))
+    return pairs.sortWithinPartitions("a_id").mapInPandas(closest_pairs, schema)

@@ -72,8 +72,8 @@ def read_incidents(spark: SparkSession, path: str, lon: str | None = None, lat:
     return df.withColumns({lon: as_double(quoted(lon)), lat: as_double(quoted(lat))}).dropna(subset=[lon, lat])
 
 
-_FEATURE = ("struct<type:string, properties:map<string,string>, "
-            "geometry:struct<type:string, coordinates:string>>")
+# Coordinates stay text at first, because polygons and multipolygons nest differently.
+_FEATURE = "type: string, properties: map<string,string>, geometry: struct<type:string, coordinates:string>"
 
 
 def _coordinates_to_geometry(kind, text):
@@ -98,10 +98,9 @@ def read_polygons(spark: SparkSession, path: str, properties: tuple[str, ...] =
     if file_format == "parquet":
         return spark.read.parquet(path)
     if file_format == "geojsonl":
-        features = spark.read.schema(T._parse_datatype_string(_FEATURE)).json(path)
+        features = spark.read.schema(_FEATURE).json(path)
     elif file_format == "geojson":
-        collection = T._parse_datatype_string(f"struct<features: array<{_FEATURE}>>")
-        features = (spark.read.schema(collection).json(path, multiLine=True)
+        features = (spark.read.schema(f"features array<struct<{_FEATURE}>>").json(path, multiLine=True)
                     .select(F.explode("features").alias("feature")).select("feature.*"))
     else:
         raise ValueError(f"unknown polygon format {file_format!r}")
