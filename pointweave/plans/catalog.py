@@ -661,11 +661,11 @@ def dbscan_summary(spark, sf_dir):
     return dbscan.cluster_counts(_labelled(spark, sf_dir))
 
 
-@query(sql(DBSCAN, """SELECT cluster_id, count(*) AS size, round(avg(longitude), 8) AS centroid_lon, round(avg(latitude), 8) AS centroid_lat,
+@query(sql(DBSCAN, """SELECT cluster_id, count(*) AS size, round(avg(longitude), 10) AS centroid_lon, round(avg(latitude), 10) AS centroid_lat,
 round(sqrt(var_pop(longitude) + var_pop(latitude)), 6) AS spread_deg FROM labelled WHERE cluster_id >= 0 GROUP BY 1"""))
 def cluster_stats(spark, sf_dir):
     table = dbscan.cluster_statistics(_labelled(spark, sf_dir))
-    return rounded(rounded(table, 8, "centroid_lon", "centroid_lat"), 6, "spread_deg")
+    return rounded(rounded(table, 10, "centroid_lon", "centroid_lat"), 6, "spread_deg")
 
 
 @query(sql(DBSCAN, """SELECT cluster_id, count(*) AS size, round(min(longitude), 9) AS west, round(max(longitude), 9) AS east,
