@@ -134,12 +134,21 @@ def risk_score(df: DataFrame, indicators: dict[str, float]) -> DataFrame:
     return prepared.withColumn("risk_score", score).drop(*temporary)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are present; NULL when either is constant there.
+
+    The built-in ``corr`` raises on constant input under ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every ordered column pair in long form, over rows where both are present."""
     columns = list(columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                   for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     entries = [F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), F.col(f"c{i}").alias("correlation"))
                for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
     return row.select(F.inline(F.array(*entries)))
@@ -157,14 +166,14 @@ def bivariate_correlation(df: DataFrame, target: str, predictors: Sequence[str])
     results: list[DataFrame] = []
     for predictor in [p for p in predictors if p in df.columns]:
         valid = df.select(as_double(F.col(target)).alias("a"), as_double(F.col(predictor)).alias("b")).dropna()
-        pearson = valid.agg(F.corr("a", "b").alias("pearson"), F.count(F.lit(1)).alias("n"))
+        linear = valid.agg(pearson(F.col("a"), F.col("b")).alias("pearson"), F.count(F.lit(1)).alias("n"))
         paired = valid.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
         ranked = (paired.join(average_ranks(valid, "a").withColumnsRenamed({"average_rank": "ra"}), "a")
                   .join(average_ranks(valid, "b").withColumnsRenamed({"average_rank": "rb"}), "b"))
         middle = (paired.agg(F.sum("w").alias("n")).scalar() + 1) / 2
         centred = ranked.select("w", (F.col("ra") - middle).alias("x"), (F.col("rb") - middle).alias("y"))
         spearman = centred.agg(_weighted_correlation(F.col("x"), F.col("y"), F.col("w")).alias("spearman"))
-        results.append(pearson.select(
+        results.append(linear.select(
             F.lit(target).alias("var1"), F.lit(predictor).alias("var2"), "pearson", "n",
             spearman.scalar().alias("spearman")))
     if not results:

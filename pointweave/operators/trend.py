@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import correlation_p, normal_p
+from .summaries import pearson
 
 
 def yearly_series(df: DataFrame, year: str = "year", count: str | None = "offense_count") -> DataFrame:
@@ -73,7 +74,8 @@ def linear_trend(df: DataFrame, year: str = "year", count: str | None = "offense
     indexed = yearly_series(df, year, count).select(
         (F.row_number().over(Window.orderBy("year")) - 1).cast("double").alias("x"),
         F.col("count").cast("double").alias("y"))
-    fit = indexed.agg(F.regr_slope("y", "x").alias("slope"), F.corr("x", "y").alias("r"),
+    fit = indexed.agg(F.try_divide(F.covar_pop("x", "y"), F.var_pop("x")).alias("slope"),
+                      pearson(F.col("x"), F.col("y")).alias("r"),
                       F.count(F.lit(1)).cast("double").alias("n"), F.stddev_pop("y").alias("spread"))
     flat = (F.col("n") < 2) | (F.col("spread") == 0)
     fit = fit.select(F.when(flat, F.lit(0.0)).otherwise(F.col("slope")).alias("statistic"),

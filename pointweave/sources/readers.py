@@ -73,7 +73,7 @@ def read_incidents(spark: SparkSession, path: str, lon: str | None = None, lat:
 
 
 # Coordinates stay text at first, because polygons and multipolygons nest differently.
-_FEATURE = "type: string, properties: map<string,string>, geometry: struct<type:string, coordinates:string>"
+_FEATURE = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
 
 
 def _coordinates_to_geometry(kind, text):

@@ -88,7 +88,7 @@ def test_point_in_polygon(monkeypatch, spark, shapes, limit):
               9: ["two"], 10: [None], 11: ["L"]}
     points = [(0.5, 0.5), (1.5, 1.5), (0.0, 0.5), (5.5, 2), (7, 2), (0.5, 5.5), (1.5, 5.5), (9, 2), (100.6, 100.2),
               (2.5, 5.5), (None, 1.0), (2.5, 0.5)]
-    df = spark.createDataFrame([(i, x, float(y)) for i, (x, y) in enumerate(points)], "id int, longitude double, latitude double")
+    df = spark.createDataFrame([(i, None if x is None else float(x), float(y)) for i, (x, y) in enumerate(points)], "id int, longitude double, latitude double")
     out = joins.join_polygons(df, shapes, {"name": "shape"}).collect()
     got = {}
     for r in out:
@@ -97,7 +97,7 @@ def test_point_in_polygon(monkeypatch, spark, shapes, limit):
 
 
 def test_polygon_join_does_not_shuffle_points(spark, shapes):
-    points = spark.range(10).select("id", F.lit(0.5).alias("longitude"), F.lit(0.5).alias("latitude"))
+    points = spark.range(10).select("id", (F.col("id") / 2).alias("longitude"), (F.col("id") / 3).alias("latitude"))
     plan = joins.join_polygons(points, shapes, {"name": "shape"})._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "NestedLoop" not in plan
 

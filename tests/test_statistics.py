@@ -153,6 +153,7 @@ def test_correlations(spark):
     assert out["a"].spearman_r == 1.0 and out["a"].pearson_r == pytest.approx(0.9763, abs=1e-3) and out["a"].n == 8
     assert out["b"].pearson_r == -1.0 and out["b"].pearson_p == 0.0 and "absent" not in out
     assert summaries.bivariate_correlation(df, "t", ["absent"]).count() == 0
+    assert summaries.bivariate_correlation(df, "t", ["c"]).first().pearson_r is None
     matrix = {(r.var1, r.var2): r.correlation for r in summaries.correlation_matrix(df, ["t", "b"]).collect()}
     assert matrix["t", "b"] == pytest.approx(-1.0) and len(matrix) == 4
 
@@ -179,9 +180,10 @@ def series(spark, values):
 
 @pytest.mark.parametrize("values,s,direction", [
     ([1, 2, 3, 4, 5, 6, 7], 21, "increasing"), ([7, 6, 5, 4, 3, 2, 1], -21, "decreasing"),
-    ([5, 5, 5, 5], 0, "no trend"), ([3, 1, 4, 1, 5, 9, 2, 6], 13, "no trend")])
+    ([5, 5, 5, 5], 0, "no trend"), ([3, 1, 4, 1, 5, 9, 2, 6], 11, "no trend")])
 def test_mann_kendall(spark, values, s, direction):
     n = len(values)
+    assert s == sum(np.sign(values[j] - values[i]) for i in range(n) for j in range(i + 1, n))
     r = trend.mann_kendall(series(spark, values)).first()
     ties = sum(t * (t - 1) * (2 * t + 5) for t in (values.count(v) for v in set(values)))
     assert (r.statistic, r.trend_direction) == (s, direction)
@@ -191,6 +193,8 @@ def test_mann_kendall(spark, values, s, direction):
 def test_linear_and_rolling(spark):
     r = trend.linear_trend(series(spark, [1, 3, 5, 7])).first()
     assert r.statistic == pytest.approx(2.0) and r.trend_direction == "increasing"
+    one = trend.linear_trend(series(spark, [4])).first()
+    assert (one.statistic, one.trend_direction) == (0.0, "no trend")
     flat = trend.linear_trend(series(spark, [4, 4, 4])).first()
     assert (flat.statistic, flat.p_value, flat.trend_direction) == (0.0, None, "no trend")
     out = trend.temporal_trend(series(spark, [2, 4, 3, 9]), window=3).collect()
