@@ -130,10 +130,14 @@ def block_pairs(a: DataFrame, b: DataFrame, margin: Column, triangular: bool = F
         pairs = box_pairs(grown(a, margin), boxes_b, b.count())
     if triangular:
         pairs = pairs.filter(F.col("a_id") <= F.col("b_id"))
-    names = [n for n in ("n", "xs", "ys", "carried")]
+    names = ("n", "xs", "ys", "carried", "min_x", "min_y", "max_x", "max_y")
     left = a.select(F.col("box_id").alias("a_id"), *[F.col(n).alias("a_" + n) for n in names])
     right = b.select(F.col("box_id").alias("b_id"), *[F.col(n).alias("b_" + n) for n in names])
-    return pairs.join(left, "a_id").join(right, "b_id").repartition(task_count(a.sparkSession), *spread_by)
+    dx = F.greatest(F.col("a_min_x") - F.col("b_max_x"), F.col("b_min_x") - F.col("a_max_x"), F.lit(0.0))
+    dy = F.greatest(F.col("a_min_y") - F.col("b_max_y"), F.col("b_min_y") - F.col("a_max_y"), F.lit(0.0))
+    joined = pairs.join(left, "a_id").join(right, "b_id").withColumn("gap", dx * dx + dy * dy)
+    boxes = [f"{side}_{n}" for side in "ab" for n in names if n[:3] in ("min", "max")]
+    return joined.drop(*boxes).repartition(task_count(a.sparkSession), *spread_by)
 
 
 def task_count(spark: SparkSession) -> int:

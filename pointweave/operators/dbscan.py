@@ -18,9 +18,9 @@ from .cells import HOT_SHARE, cell, lookup_join, neighbour_offsets, split_join
 from .components import tiled_components
 from .indexing import dense_index
 
-TILE_CELLS = 32
+TILE_CELLS = 64
 # Point pairs of two cells compared directly up to this many; larger cell pairs are subdivided.
-DIRECT_PAIRS = 4096
+DIRECT_PAIRS = 16384
 # Subdivision per axis and step.
 SUBDIVISION = 8
 
@@ -53,7 +53,6 @@ def dbscan(df: DataFrame, eps: float, min_pts: int, id: str = "incident_id", x:
     # Cells above both bars: at most 1 / HOT_SHARE of them, and all of their points are core.
     hot_rows = max(min_pts, total * HOT_SHARE)
     hot = cells.filter(F.col("n") > hot_rows).select(*at, F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
-    hot = cut(hot)
     hot_cells = F.broadcast(hot.select(*at))
 
     crowded = points.join(hot_cells, at, "left_semi")

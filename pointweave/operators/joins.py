@@ -19,8 +19,8 @@ BROADCAST_EDGES = 2_000_000
 CELLS_PER_POLYGON = 4
 # A query table up to this size is held by every task; larger ones take the block route.
 SMALL_QUERIES = 1024
-# Points per block in nearest-neighbour searches: small, since a block's reach grows with its box.
-KNN_BLOCK = 256
+# Points per block in neighbour searches: small, since a block meets all blocks around its box.
+SEARCH_BLOCK = 256
 
 
 # Point in polygon ------------------------------------------------------------------------------------------------
@@ -151,18 +151,20 @@ def count_within(queries: DataFrame, data: DataFrame, radius: float, query_id: s
     weighted = _named(data.withColumn("one", F.lit(1)), "one", x, y, "").groupBy("x", "y").agg(
         F.count(F.lit(1)).alias("weight"))
     q = _named(queries, query_id, x, y, "")
-    q_blocks = point_blocks(q, "x", "y", "id")
-    d_blocks = point_blocks(weighted, "x", "y", "weight")
+    q_blocks = point_blocks(q, "x", "y", "id", SEARCH_BLOCK)
+    d_blocks = point_blocks(weighted, "x", "y", "weight", SEARCH_BLOCK)
     limit = radius * radius
 
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                dx = np.asarray(row.b_xs)[None, :] - np.asarray(row.a_xs)[:, None]
-                dy = np.asarray(row.b_ys)[None, :] - np.asarray(row.a_ys)[:, None]
-                hits = (dx * dx + dy * dy <= limit) @ np.asarray(row.b_carried, dtype="int64")
+                ax, ay, bx, by = (np.asarray(v) for v in (row.a_xs, row.a_ys, row.b_xs, row.b_ys))
+                a, b = _facing(ax, ay, bx, by, limit), _facing(bx, by, ax, ay, limit)
+                dx, dy = bx[b][None, :] - ax[a][:, None], by[b][None, :] - ay[a][:, None]
+                # Weights are exact in doubles, and their product runs in BLAS.
+                hits = (dx * dx + dy * dy <= limit).astype(float) @ np.asarray(row.b_carried, dtype=float)[b]
                 some = hits > 0
-                yield pd.DataFrame({"query_id": np.asarray(row.a_carried)[some], "part": hits[some]})
+                yield pd.DataFrame({"query_id": np.asarray(row.a_carried)[a][some], "part": hits[some].astype("int64")})
 
     schema = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField("part", T.LongType())])
     parts = block_pairs(q_blocks, d_blocks, F.lit(float(radius))).mapInPandas(count_pairs, schema)
@@ -178,6 +180,13 @@ def _closest(query: np.ndarray, id: np.ndarray, gap: np.ndarray, k: int) -> tupl
     return query[rank < k], id[rank < k], gap[rank < k]
 
 
+def _facing(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, limit: float) -> np.ndarray:
+    """Places of the points of ``a`` whose squared distance to the box of ``b`` is within ``limit``."""
+    dx = np.maximum(np.maximum(bx.min() - ax, ax - bx.max()), 0.0)
+    dy = np.maximum(np.maximum(by.min() - ay, ay - by.max()), 0.0)
+    return np.flatnonzero(dx * dx + dy * dy <= limit * (1 + 1e-9))
+
+
 class _Best:
     """The k closest points found so far for a fixed array of queries."""
 
@@ -187,6 +196,10 @@ class _Best:
         self.rows = (np.empty(0, "int64"), None, np.empty(0))
 
     def add(self, did: np.ndarray, dx: np.ndarray, dy: np.ndarray, step: int = 256) -> None:
+        near = _facing(dx, dy, self.qx, self.qy, self.bar.max())
+        did, dx, dy = did[near], dx[near], dy[near]
+        if not len(did):
+            return
         found = [] if self.rows[1] is None else [self.rows]
         for s in range(0, len(self.qid), step):
             part = slice(s, s + step)
@@ -248,8 +261,8 @@ def _block_candidates(q: DataFrame, d: DataFrame, k: int, schema: T.StructType)
     place = Window.partitionBy("x", "y").orderBy("id")
     d = d.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k).drop("nth")
     n_q, n_d = q.count(), d.count()
-    size = int(min(KNN_BLOCK, max(16, KNN_BLOCK * n_q / max(1, n_d))))
-    q_blocks, d_blocks = point_blocks(q, "x", "y", "id", size), point_blocks(d, "x", "y", "id", KNN_BLOCK)
+    size = int(min(SEARCH_BLOCK, max(16, SEARCH_BLOCK * n_q / max(1, n_d))))
+    q_blocks, d_blocks = point_blocks(q, "x", "y", "id", size), point_blocks(d, "x", "y", "id", SEARCH_BLOCK)
 
     # Count data points per cell at every level, from the finest up.
     both = q_blocks.select("min_x", "min_y", "max_x", "max_y").unionByName(
@@ -294,4 +307,5 @@ def _block_candidates(q: DataFrame, d: DataFrame, k: int, schema: T.StructType)
 
     # Pairs of one query block mostly meet in one task, yet a block with very many partners uses several.
     pairs = block_pairs(q_boxes, d_blocks, F.col("reach"), spread_by=("a_id", F.pmod("b_id", F.lit(3))))
-    return pairs.sortWithinPartitions("a_id").mapInPandas(closest_pairs, schema)
+    # Nearby blocks first, so that the bars drop early.
+    return pairs.sortWithinPartitions("a_id", "gap").mapInPandas(closest_pairs, schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RANGES = 256
@@ -22,8 +23,9 @@ def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataF
 
 def _accumulate(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     splits = sorted(set(counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.001)))
-    bounds = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
-    ranged = counts.withColumn("value_range", F.size(F.filter(bounds, lambda s: s < F.col(value))))
+    inner = [s for s in splits if s == s and abs(s) != float("inf")] or [0.0]
+    ranged = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=value, outputCol="value_range",
+                        handleInvalid="keep").transform(counts)
     totals = ranged.groupBy(*groups, "value_range").agg(F.sum("rows").alias("range_rows"))
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     ordered = by_group.orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,7 +39,7 @@ def expected_nearest(q, d, k):
 @pytest.mark.parametrize("small", [1024, 0])
 def test_nearest_neighbours_against_brute_force(monkeypatch, spark, cloud, cloud_table, small):
     monkeypatch.setattr(joins, "SMALL_QUERIES", small)
-    monkeypatch.setattr(joins, "KNN_BLOCK", 32)
+    monkeypatch.setattr(joins, "SEARCH_BLOCK", 32)
     queries = np.vstack([mixed_points(60, 5), [[30.0, -20.0], [0.0, 0.0]]])
     out = joins.nearest_neighbours(as_table(spark, queries), cloud_table, 4).collect()
     got = {(r.query_id, r.rank): r.data_id for r in out}
