@@ -248,7 +248,9 @@ def global_moran(units: DataFrame, value: str = "offense_count", id: str = "GEOI
     """One row: ``I, expected, variance, z_score, p_value, is_clustered``."""
     require_columns(units, [value, id])
     edges = neighbours(units, kind, id) if edges is None else edges
-    long = units.select(F.col(id).alias("unit"), F.lit(value).alias("variable"), F.col(value).cast("double").alias("x"))
+    # Unpivoted rather than tagged with a literal: joins on a literal would turn into products.
+    long = units.select(F.col(id).alias("unit"), F.col(value).cast("double").alias("value")).unpivot(
+        ["unit"], ["value"], "variable", "x")
     return _moran_from_sums(_moran_by_variable(long, edges)).select(
         "I", "expected", "variance", "z_score", "p_value", "is_clustered")
 

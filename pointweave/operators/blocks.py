@@ -21,6 +21,8 @@ from ..session import cut
 BLOCK_POINTS = 2048
 # Block boxes (five numbers each) held by every task up to this many.
 SMALL_BOXES = 4096
+# Partners of one block that are kept together when pairs are spread by block and ``part``.
+PARTNERS_PER_TASK = 64
 _CURVE_BITS = 31
 # Masks that space out the bits of a 31-bit number, one per doubling step.
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333),
@@ -109,15 +111,17 @@ def _near_boxes(a: DataFrame, boxes: pd.DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 hit = ids[(x0 <= r.max_x) & (x1 >= r.min_x) & (y0 <= r.max_y) & (y1 >= r.min_y)]
-                yield pd.DataFrame({"a_id": np.full(len(hit), r.box_id), "b_id": hit})
+                yield pd.DataFrame({"a_id": np.full(len(hit), r.box_id), "b_id": hit,
+                                    "part": np.arange(len(hit)) // PARTNERS_PER_TASK})
 
-    return a.mapInPandas(near, "a_id bigint, b_id bigint")
+    return a.mapInPandas(near, "a_id bigint, b_id bigint, part bigint")
 
 
 def block_pairs(a: DataFrame, b: DataFrame, margin: Column, triangular: bool = False,
                 spread_by: tuple[Column | str, ...] = ("a_id", "b_id")) -> DataFrame:
     """Both blocks of every pair whose boxes come within ``margin``, as columns ``a_*`` and ``b_*``.
 
+    ``part`` numbers groups of partners of one ``a`` block, so that a block with very many uses several tasks.
     ``triangular`` keeps unordered pairs of one block table joined with itself. Up to SMALL_BOXES boxes are matched in
     the tasks that hold the other side; more go through the cell join. The result has a fixed number of partitions,
     hashed by ``spread_by``: the cost of a pair is not in its bytes, which is what adaptive coalescing looks at.
@@ -127,7 +131,7 @@ def block_pairs(a: DataFrame, b: DataFrame, margin: Column, triangular: bool = F
     if len(few) <= SMALL_BOXES:
         pairs = _near_boxes(grown(a, margin), few)
     else:
-        pairs = box_pairs(grown(a, margin), boxes_b, b.count())
+        pairs = box_pairs(grown(a, margin), boxes_b, b.count()).withColumn("part", F.pmod("b_id", F.lit(8)))
     if triangular:
         pairs = pairs.filter(F.col("a_id") <= F.col("b_id"))
     names = ("n", "xs", "ys", "carried", "min_x", "min_y", "max_x", "max_y")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import edges as edge_array, vertices
 
@@ -46,7 +46,8 @@ def neighbours(polygons: DataFrame, kind: str = "queen", id: str = "GEOID", geom
 
 def row_standardised(edges: DataFrame) -> DataFrame:
     """Add ``w``, one over the number of neighbours of ``src``."""
-    return edges.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("src")))
+    degrees = edges.groupBy("src").agg((1 / F.count(F.lit(1))).alias("w"))
+    return edges.join(degrees, "src")
 
 
 def spatial_lag(units: DataFrame, edges: DataFrame, value: str, id: str = "GEOID", name: str = "spatial_lag") -> DataFrame:

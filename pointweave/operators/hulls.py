@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.geometry import polygon, regular_ring
 
 # Tasks a cluster's partial hulls are spread over before the last merge.
-HULL_PARTS = 64
+HULL_PARTS = 512
 # Segments of the circle drawn for clusters with fewer than three points.
 CIRCLE_SIDES = 64
 

@@ -306,6 +306,6 @@ def _block_candidates(q: DataFrame, d: DataFrame, k: int, schema: T.StructType)
             yield best.table()
 
     # Pairs of one query block mostly meet in one task, yet a block with very many partners uses several.
-    pairs = block_pairs(q_boxes, d_blocks, F.col("reach"), spread_by=("a_id", F.pmod("b_id", F.lit(3))))
+    pairs = block_pairs(q_boxes, d_blocks, F.col("reach"), spread_by=("a_id", "part"))
     # Nearby blocks first, so that the bars drop early.
     return pairs.sortWithinPartitions("a_id", "gap").mapInPandas(closest_pairs, schema)

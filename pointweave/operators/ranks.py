@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 256
+# Value ranges at least and at most; in between, as many as the session has shuffle partitions.
+MIN_RANGES, MAX_RANGES = 256, 20_000
 
 
 def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -22,7 +23,9 @@ def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataF
 
 
 def _accumulate(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    splits = sorted(set(counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.001)))
+    configured = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(MIN_RANGES, min(MAX_RANGES, configured))
+    splits = sorted(set(counts.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
     inner = [s for s in splits if s == s and abs(s) != float("inf")] or [0.0]
     ranged = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=value, outputCol="value_range",
                         handleInvalid="keep").transform(counts)
