@@ -196,8 +196,8 @@ def _subdivide(core: DataFrame, pairs: DataFrame, side: float, eps: float, ends:
         state = cut(left.select(*ends, F.col("src_sx").alias("src_px"), F.col("src_sy").alias("src_py"),
                                 F.col("dst_sx").alias("dst_px"), F.col("dst_sy").alias("dst_py")))
         if state.isEmpty():
-            break
-    return found
+            return found
+    raise RuntimeError("cell pairs stayed undecided")
 
 
 # Results ---------------------------------------------------------------------------------------------------------

@@ -51,14 +51,15 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
 
 def _ring(group: pd.DataFrame) -> pd.DataFrame:
     corners = convex_hull(group["x"].to_numpy(), group["y"].to_numpy())
-    ring = [{"x": float(px), "y": float(py)} for px, py in [*corners, corners[0]]]
+    # Fewer than three corners (points in one place or on one line) enclose nothing.
+    ring = [{"x": float(px), "y": float(py)} for px, py in [*corners, corners[0]]] if len(corners) > 2 else None
     return pd.DataFrame({"label": [group["label"].iloc[0]], "ring": [ring]})
 
 
 def cluster_hulls(labelled: DataFrame, eps: float = 0.05, x: str = "longitude", y: str = "latitude",
                   label: str = "cluster_id") -> DataFrame:
     """``cluster_id, size, centroid_lon, centroid_lat, geometry`` per cluster; a circle of radius ``eps`` around the
-    first point (smallest coordinates) below three points.
+    first point (smallest coordinates) below three hull corners, so for points on one line too.
 
     Batches shrink to their hull corners where they are read, then a cluster's corners are merged in HULL_PARTS
     groups and once more, so a cluster holding most of the rows never meets in one task.
@@ -75,4 +76,4 @@ def cluster_hulls(labelled: DataFrame, eps: float = 0.05, x: str = "longitude",
     circle = regular_ring(F.col("first.x"), F.col("first.y"), radius, radius, CIRCLE_SIDES)
     return sizes.join(rings, "label").select(
         F.col("label").alias(label), "size", "centroid_lon", "centroid_lat",
-        polygon(F.when(F.col("size") >= 3, F.col("ring")).otherwise(circle)).alias("geometry"))
+        polygon(F.coalesce(F.col("ring"), circle)).alias("geometry"))

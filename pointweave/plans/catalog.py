@@ -529,17 +529,14 @@ def getis_ord_permutation(spark, sf_dir):
     return autocorrelation.getis_ord(_county_units(spark, sf_dir), permutations=999).drop("geometry")
 
 
-@query(sql(f"{LAGGED}, {_G_STATS}", """SELECT cell_id, gi_z_score, CASE WHEN gi_z_score > 2.576 THEN 'Hot Spot 99%' WHEN gi_z_score > 1.96
-THEN 'Hot Spot 95%' WHEN gi_z_score > 1.645 THEN 'Hot Spot 90%' WHEN gi_z_score < -1.96 THEN 'Cold Spot 95%' ELSE 'Not Significant' END
-AS spot_class FROM (SELECT c.cell_id, round(((lag * degree + offense_count) / (degree + 1) - m)
-/ (sd * sqrt((n / (degree + 1e0) - 1) / (n - 1e0))), 6) AS gi_z_score FROM cells AS c JOIN lagged AS l ON l.cell_id = c.cell_id, s) AS t
-WHERE abs(abs(gi_z_score) - 1.645) > 1e-3 AND abs(abs(gi_z_score) - 1.96) > 1e-3 AND abs(abs(gi_z_score) - 2.576) > 1e-3"""))
+@query(sql(f"{LAGGED}, {_G_STATS}", """SELECT cell_id, round(z, 6) AS gi_z_score, CASE WHEN z > 2.576 THEN 'Hot Spot 99%' WHEN z > 1.96
+THEN 'Hot Spot 95%' WHEN z > 1.645 THEN 'Hot Spot 90%' WHEN z < -1.96 THEN 'Cold Spot 95%' ELSE 'Not Significant' END
+AS spot_class FROM (SELECT c.cell_id, ((lag * degree + offense_count) / (degree + 1) - m)
+/ (sd * sqrt((n / (degree + 1e0) - 1) / (n - 1e0))) AS z FROM cells AS c JOIN lagged AS l ON l.cell_id = c.cell_id, s) AS t"""))
 def spot_classes(spark, sf_dir):
-    """Two-sided normal p and z agree except within a thousandth of a threshold; both sides leave those cells out."""
+    """A z score beyond a bar implies a normal p below its level, so z alone decides in the SQL."""
     scored = autocorrelation.getis_ord(cells(spark, sf_dir), id="cell_id", p_method="normal")
-    classed = autocorrelation.spot_class(scored.withColumn("gi_z_score", F.round("gi_z_score", 6)))
-    far = [F.abs(F.abs(F.col("gi_z_score")) - bar) > 1e-3 for bar in (1.645, 1.96, 2.576)]
-    return classed.filter(far[0] & far[1] & far[2]).select("cell_id", "gi_z_score", "spot_class")
+    return rounded(autocorrelation.spot_class(scored).select("cell_id", "gi_z_score", "spot_class"), 6, "gi_z_score")
 
 
 @query(sql(f"{LAGGED}, {_G_STATS}", """SELECT c.cell_id, round((n - 1) * (offense_count - m) * CASE WHEN degree > 0 THEN lag - m ELSE 0e0 END
@@ -669,10 +666,10 @@ def cluster_stats(spark, sf_dir):
 
 
 @query(sql(DBSCAN, """SELECT cluster_id, count(*) AS size, round(min(longitude), 9) AS west, round(max(longitude), 9) AS east,
-round(min(latitude), 9) AS south, round(max(latitude), 9) AS north FROM labelled WHERE cluster_id >= 0 GROUP BY 1 HAVING count(*) >= 3"""))
+round(min(latitude), 9) AS south, round(max(latitude), 9) AS north FROM labelled WHERE cluster_id >= 0 GROUP BY 1"""))
 def cluster_hulls(spark, sf_dir):
     """Hulls by their extent, which SQL can state too."""
-    table = hulls.cluster_hulls(_labelled(spark, sf_dir), _EPS).filter(F.col("size") >= 3)
+    table = hulls.cluster_hulls(_labelled(spark, sf_dir), _EPS)
     b = G.bounds(F.col("geometry"))
     return table.select("cluster_id", "size", F.round(b["min_x"], 9).alias("west"), F.round(b["max_x"], 9).alias("east"),
                         F.round(b["min_y"], 9).alias("south"), F.round(b["max_y"], 9).alias("north"))
@@ -723,11 +720,11 @@ def risk_grid(spark, sf_dir):
 # Layers ----------------------------------------------------------------------------------------------------------
 
 
-@query(sql(ENRICHED, """SELECT CAST(floor(longitude / 0.05e0) AS BIGINT) AS cx, CAST(floor(latitude / 0.05e0) AS BIGINT) AS cy,
+@query(sql(ENRICHED, """SELECT CAST(floor(longitude / 0.005e0) AS BIGINT) AS cx, CAST(floor(latitude / 0.005e0) AS BIGINT) AS cy,
 round(avg(latitude), 9) AS latitude, round(avg(longitude), 9) AS longitude, CAST(sum(severity) AS DOUBLE) AS weight, count(*) AS incidents
 FROM enriched GROUP BY 1, 2"""))
 def layer_heat(spark, sf_dir):
-    return rounded(layers.heat_layer(processed(spark, sf_dir), cell=0.05), 9, "latitude", "longitude")
+    return rounded(layers.heat_layer(processed(spark, sf_dir)), 9, "latitude", "longitude")
 
 
 @query()

@@ -18,8 +18,8 @@ def read_csv(spark: SparkSession, path: str, **options: object) -> DataFrame:
         return spark.read.options(header=True, mode="PERMISSIVE", **options).csv(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"data file not found: {path}") from error
-        raise RuntimeError(f"failed to read {path}: {error}") from error
+            raise FileNotFoundError(f"there is nothing at {path}") from error
+        raise RuntimeError(f"Spark could not open {path}: {error}") from error
 
 
 def read_county_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -57,9 +57,19 @@ def read_crime_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.json(path, multiLine=True)
     types = dict(raw.dtypes)
     if "data" in types and types["data"].startswith("array"):
-        if not types["data"].startswith("array<struct"):
+        others = [c for c in raw.columns if c != "data"]
+        wrapped, bare = raw.filter(F.col("data").isNotNull()), raw.filter(F.col("data").isNull())
+        # Fields that stand beside a ``data`` list belong to the response; those of bare lists are the rest.
+        beside = wrapped.agg(*[F.count(c).alias(c) for c in others]).first().asDict() if others else {}
+        fields = [c for c in others if not beside[c]]
+        records = wrapped.select(F.explode("data").alias("record")).select("record.*") if types["data"].startswith(
+            "array<struct") else None
+        if fields:
+            own = flatten_structs(bare.dropna("all", subset=fields).select(*[quoted(c) for c in fields]))
+            records = own if records is None else flatten_structs(records).unionByName(own, allowMissingColumns=True)
+        if records is None:
             return spark.createDataFrame([], T.StructType([]))
-        raw = raw.select(F.explode("data").alias("record")).select("record.*")
+        raw = records
     elif not raw.columns:
         return raw
     return rename_canonical(flatten_structs(raw))

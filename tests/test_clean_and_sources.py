@@ -104,6 +104,9 @@ def test_crime_json(spark, tmp_path):
         row = out.first().asDict()
         assert row == {"offense_type": "x", "year": 2020, "agency.name": "n", "agency.place.code": 7}
     assert readers.read_crime_json(spark, str(tmp_path / "c.json")).count() == 0
+    (tmp_path / "b.json").write_text(json.dumps(records * 2))
+    mixed = readers.read_crime_json(spark, str(tmp_path)).collect()
+    assert [r.asDict() for r in mixed] == [{"offense_type": "x", "year": 2020, "agency.name": "n", "agency.place.code": 7}] * 3
 
 
 def test_incident_csv(spark, tmp_path):

@@ -131,3 +131,10 @@ def test_kmeans(spark):
     assert result.summary.first().inertia == pytest.approx(3 * 9 * np.var(np.linspace(0, 1, 9)))
     curve = [r.inertia for r in kmeans.elbow(df, (2, 3, 4), starts=2).collect()]
     assert curve == sorted(curve, reverse=True)
+
+
+def test_hull_of_a_line_is_a_circle(spark):
+    rows = [(1, float(i), float(i)) for i in range(4)] + [(2, 0.0, 0.0), (2, 1.0, 0.0), (2, 0.0, 1.0)]
+    drawn = {r.cluster_id: r.geometry for r in hulls.cluster_hulls(
+        spark.createDataFrame(rows, "cluster_id bigint, x double, y double"), 0.1, "x", "y").collect()}
+    assert len(drawn[1][0][0]) > 4 and len(drawn[2][0][0]) == 4
