@@ -76,7 +76,9 @@ def with_counts(docs: DataFrame, text: str, out: str, windows_too: bool = True)
         whole = F.greatest(F.size(col("h1")) - (WINDOW - 1), F.lit(0))
         split = split.withColumn(name["h5"], F.slice(_pairwise(col("h4"), col("h1"), 4), F.lit(1), whole))
         counts.append(_repeat_words(col("h5")).alias("n_repeat_words"))
-    return split.withColumn(out, F.struct(*counts)).drop(*name.values())
+    # The explode of one element keeps a filter on the counts from being moved below them, where all would be worked out
+    # again for each place that uses them.
+    return split.withColumn(out, F.explode(F.array(F.struct(*counts)))).drop(*name.values())
 
 
 def measures(counts: Column) -> dict[str, Column]:
