@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,11 +11,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import as_double, one_row, require_columns
 from ..functions.special import normal_p
+from ..session import stored
 from .contiguity import neighbours, row_standardised
+from .indexing import dense_index
 
 PERMUTATIONS = 999
-# Values held by every permutation task up to this many (8 bytes each); beyond, draws are joined instead.
+# Values held by every permutation task up to this many (8 bytes each); beyond, the same draws are joined instead.
 BROADCAST_VALUES = 1_000_000
+# Drawn numbers that a task holds at a time.
+DRAWS_PER_BATCH = 500_000
+# Modulus and rounds of the keyed permutations; 5 is no divisor of PRIME - 1.
+PRIME, ROUNDS = 2**31 - 1, 6
+# Sums that differ by less than this share of their scale are ties.
+TIE = 1e-12
 # Two-sided z thresholds with the p-value each must also pass.
 HOT_LEVELS = {"hotspot_90": (1.645, 0.10), "hotspot_95": (1.960, 0.05), "hotspot_99": (2.576, 0.01)}
 COLD_LEVELS = {"coldspot_95": (-1.960, 0.05)}
@@ -29,73 +38,98 @@ def _folded(larger: Column, permutations: int) -> Column:
     return (F.least(larger, F.lit(permutations) - larger) + 1) / F.lit(permutations + 1.0)
 
 
+def _mixed(x):
+    """The fifth power modulo the prime: a bijection that also SQL can state, of integers or integer arrays."""
+    square = x * x % PRIME
+    return square * square % PRIME * x % PRIME
+
+
+def _keys(seed: int, slot: int, runs):
+    """One key of the permutations below for each run of a slot."""
+    return _mixed((_mixed((_mixed(seed % PRIME) + slot) % PRIME) + runs) % PRIME)
+
+
+def _permuted(place: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
+    """Where the keyed permutation of 0 to n - 1 puts each place.
+
+    A Feistel network over two digits of nearly equal base covers a little more than n numbers; results beyond n go
+    through it again until they are below n, which keeps it a bijection.
+    """
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = -(-n // a)
+    place, key = (np.array(v, "int64").ravel() for v in np.broadcast_arrays(place, key))
+    out, todo = place, np.arange(len(place))
+    while len(todo):
+        left, right = np.divmod(out[todo], b)
+        for i in range(ROUNDS):
+            turn = _mixed((key[todo] + i + 1) % PRIME)
+            if i % 2:
+                right = (right + _mixed((left + turn) % PRIME)) % b
+            else:
+                left = (left + _mixed((right + turn) % PRIME)) % a
+        out[todo] = left * b + right
+        todo = todo[out[todo] >= n]
+    return out
+
+
+def _neighbour_draws(slot: int, k: int, n: int, permutations: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches ``(runs, slots)`` of bounded size: in each run k different slots, never the unit's own."""
+    k = min(k, n - 1)
+    step = max(1, DRAWS_PER_BATCH // max(k, 1))
+    for first in range(1, permutations + 1, step):
+        runs = np.arange(first, min(first + step, permutations + 1))
+        picks = _permuted(np.arange(k)[None, :], n - 1, _keys(seed, slot, runs)[:, None]).reshape(len(runs), k)
+        yield runs, picks + (picks >= slot)
+
+
 def conditional_p(units: DataFrame, observed: str, degree: str, value: str, id: str,
                   permutations: int = PERMUTATIONS, seed: int = 42, sign: str | None = None) -> DataFrame:
     """Pseudo p-value per unit: its value stays, its neighbours' values are drawn from the other units.
 
     ``observed`` is the mean of the neighbours' values; ``sign`` names a column whose sign flips the comparison.
-    Draws are seeded by the unit, so they do not depend on the partitioning.
+    Draws are a keyed permutation of the units' numbers in id order, so they depend on nothing but ids and seed. Up to
+    BROADCAST_VALUES units every task holds the values; beyond, the same draws look them up in a join.
     """
     table = units.select(F.col(id).alias("unit"), F.col(value).cast("double").alias("x"),
-                         F.col(observed).cast("double").alias("observed"), F.col(degree).cast("int").alias("k"),
-                         (F.signum(F.col(sign)) if sign else F.lit(1.0)).cast("double").alias("sign"),
-                         F.xxhash64(F.col(id), F.lit(seed)).alias("seed"))
-    n = units.count()
+                         F.col(observed).cast("double").alias("observed"),
+                         F.coalesce(F.col(degree), F.lit(0)).cast("bigint").alias("k"),
+                         (F.signum(F.col(sign)) if sign else F.lit(1.0)).cast("double").alias("sign"))
+    slots = dense_index(table, "unit", "slot")
+    size = slots.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("x")).alias("top")).first()
+    n, slack = size["n"], TIE * (size["top"] or 0.0)
     if n <= BROADCAST_VALUES:
-        pool = table.select("unit", "x", "seed").toPandas().sort_values(["seed", "unit"], kind="stable")
-        values = pool["x"].to_numpy()
-        place = {u: i for i, u in enumerate(pool["unit"])}
+        values = slots.select("slot", "x").toPandas().sort_values("slot")["x"].to_numpy()
 
         def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 larger = np.zeros(len(batch), "int64")
                 for j, r in enumerate(batch.itertuples(index=False)):
-                    if r.k == 0:
-                        continue
-                    rng = np.random.default_rng(r.seed & 0xFFFFFFFFFFFFFFFF)
-                    picks = _distinct_draws(rng, len(values) - 1, min(r.k, len(values) - 1), permutations)
-                    picks += picks >= place[r.unit]
-                    means = values[picks].mean(axis=1)
-                    larger[j] = (means * r.sign >= r.observed * r.sign - 1e-12 * abs(r.observed)).sum()
+                    for _, picks in _neighbour_draws(r.slot, r.k, n, permutations, seed) if min(r.k, n - 1) else ():
+                        larger[j] += (values[picks].mean(axis=1) * r.sign >= r.observed * r.sign - slack).sum()
                 yield pd.DataFrame({"unit": batch["unit"], "larger": larger})
 
         schema = T.StructType([table.schema["unit"], T.StructField("larger", T.LongType())])
-        counted = table.mapInPandas(draw, schema)
+        counted = slots.mapInPandas(draw, schema)
     else:
-        counted = _joined_draws(table, n, permutations)
+        counted = _joined_draws(slots, n, slack, permutations, seed)
     return counted.select(F.col("unit").alias(id), _folded(F.col("larger"), permutations).alias("p_sim"))
 
 
-def _distinct_draws(rng: np.random.Generator, n: int, k: int, rows: int) -> np.ndarray:
-    """``rows`` draws of ``k`` different numbers below ``n``."""
-    if n <= 4 * k:
-        return np.argsort(rng.random((rows, n)), axis=1)[:, :k]
-    picks = rng.integers(0, n, (rows, k))
-    while True:
-        ordered = np.sort(picks, axis=1)
-        again = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
-        if not again.any():
-            return picks
-        picks[again] = rng.integers(0, n, (int(again.sum()), k))
+def _joined_draws(slots: DataFrame, n: int, slack: float, permutations: int, seed: int) -> DataFrame:
+    """The same draws when the values do not fit a task: each is a row that looks its value up."""
 
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch[batch["k"] > 0].itertuples(index=False):
+                for runs, picks in _neighbour_draws(r.slot, r.k, n, permutations, seed):
+                    yield pd.DataFrame({"own": r.slot, "run": np.repeat(runs, picks.shape[1]), "slot": picks.ravel()})
 
-def _joined_draws(table: DataFrame, n: int, permutations: int) -> DataFrame:
-    """The same inference when the values do not fit a task: each draw is a row that looks its value up.
-
-    Values are numbered by a dense distributed index; drawing one unit twice is negligible at this size.
-    """
-    from .indexing import dense_index
-
-    indexed = dense_index(table.select("unit", "x"), "unit", "slot")
-    draws = table.select("unit", "observed", "sign", "k", "seed", F.explode(
-        F.sequence(F.lit(1), F.lit(permutations))).alias("run")).filter(F.col("k") > 0)
-    draws = draws.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("k"))))
-    draws = draws.withColumn("slot", F.pmod(F.xxhash64("seed", "run", "draw"), F.lit(n)))
-    means = (draws.join(indexed.select("slot", "x"), "slot").groupBy("unit", "run")
-             .agg(F.avg("x").alias("mean"), F.first("observed").alias("observed"), F.first("sign").alias("sign")))
-    larger = means.groupBy("unit").agg(F.count_if(
-        F.col("mean") * F.col("sign") >= F.col("observed") * F.col("sign")).alias("larger"))
-    return table.select("unit").join(larger, "unit", "left").fillna(0, ["larger"])
+    drawn = slots.select("slot", "k").mapInPandas(draw, "own bigint, run bigint, slot bigint")
+    means = drawn.join(slots.select("slot", "x"), "slot").groupBy("own", "run").agg(F.avg("x").alias("mean"))
+    compared = means.join(slots.select(F.col("slot").alias("own"), "observed", "sign"), "own")
+    larger = compared.groupBy(F.col("own").alias("slot")).agg(F.count_if(
+        F.col("mean") * F.col("sign") >= F.col("observed") * F.col("sign") - slack).alias("larger"))
+    return slots.select("slot", "unit").join(larger, "slot", "left").fillna(0, ["larger"])
 
 
 # Local G ---------------------------------------------------------------------------------------------------------
@@ -260,34 +294,65 @@ def global_moran_permutation_p(units: DataFrame, value: str = "offense_count", i
                                seed: int = 42) -> DataFrame:
     """One row ``I, p_sim`` from random relabelings of all units.
 
-    Up to BROADCAST_VALUES edges the graph is held by every task and the relabelings are spread over the tasks;
-    a larger graph gets the analytic p-value under normality, which the relabelings approach.
+    A relabeling is a keyed permutation of the units' numbers in id order. Up to BROADCAST_VALUES units and edges every
+    task holds the graph and does some of the relabelings; beyond, the same ones are looked up by joins.
     """
-    edges = neighbours(units, "queen", id) if edges is None else edges
-    few = edges.limit(BROADCAST_VALUES + 1).toPandas()
+    edges = stored(neighbours(units, "queen", id) if edges is None else edges)
     moran = global_moran(units, value, id, edges=edges)
-    if len(few) > BROADCAST_VALUES:
-        return moran.select("I", F.col("p_value").alias("p_sim"))
-    pool = units.select(F.col(id).alias("unit"), F.col(value).cast("double").alias("x")).toPandas().sort_values("unit")
-    place = pd.Series(np.arange(len(pool)), index=pool["unit"])
-    src, dst = place.loc[few["src"]].to_numpy(), place.loc[few["dst"]].to_numpy()
-    z = (pool["x"] - pool["x"].mean()).to_numpy()
-    w = 1 / np.bincount(src, minlength=len(z))[src]
-    observed = (w * z[src] * z[dst]).sum()
+    indexed = dense_index(units.select(F.col(id).alias("unit"), F.col(value).cast("double").alias("x")), "unit", "slot")
+    t = one_row(indexed, mean=F.avg("x"))
+    slots = stored(indexed.select("unit", "slot", (F.col("x") - t["mean"]).alias("z")))
+    end = lambda unit, name: slots.select(F.col("unit").alias(unit), F.col("slot").alias(name))
+    linked = stored(row_standardised(edges).join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b", "w"))
+    n, slack = slots.agg(F.count(F.lit(1)), TIE * F.sum(F.col("z") * F.col("z"))).first()
+    slack = slack or 0.0
+    if max(n, linked.count()) > BROADCAST_VALUES:
+        larger = _joined_relabelings(slots, linked, n, slack, permutations, seed)
+        return moran.select("I", _folded(larger.scalar(), permutations).alias("p_sim"))
+    z = slots.select("slot", "z").toPandas().sort_values("slot")["z"].to_numpy()
+    graph = linked.toPandas()
+    a, b, w = (graph[c].to_numpy() for c in ("a", "b", "w"))
+    observed = (w * z[a] * z[b]).sum()
 
     def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hits = 0
             for run in batch["id"]:
-                mixed = np.random.default_rng([seed, int(run)]).permutation(z)
-                hits += (w * mixed[src] * mixed[dst]).sum() >= observed
-            yield pd.DataFrame({"larger": [int(hits)]})
+                mixed = z[_permuted(np.arange(n), n, _keys(seed, n, int(run)))]
+                hits += int((w * mixed[a] * mixed[b]).sum() >= observed - slack)
+            yield pd.DataFrame({"larger": [hits]})
 
-    larger = units.sparkSession.range(permutations).mapInPandas(relabel, "larger bigint").agg(
+    larger = units.sparkSession.range(1, permutations + 1).mapInPandas(relabel, "larger bigint").agg(
         F.sum("larger").alias("larger")).scalar()
     return moran.select("I", _folded(larger, permutations).alias("p_sim"))
 
 
+def _joined_relabelings(slots: DataFrame, linked: DataFrame, n: int, slack: float, permutations: int,
+                        seed: int) -> DataFrame:
+    """``larger`` of all relabelings for a graph beyond one task. Each unit gets the array of its values, the observed
+    one first; the products of an edge are summed per run before anything is shuffled."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = np.arange(1, permutations + 1)
+        for batch in batches:
+            for some in np.array_split(batch["slot"].to_numpy(), max(1, len(batch) * permutations // DRAWS_PER_BATCH)):
+                found = _permuted(some[:, None], n, _keys(seed, n, runs)[None, :]).reshape(len(some), permutations)
+                found = np.concatenate([some[:, None], found], axis=1)
+                yield pd.DataFrame({"own": np.repeat(some, permutations + 1), "run": np.tile(np.arange(permutations + 1), len(some)),
+                                    "slot": found.ravel()})
+
+    placed = slots.select("slot").mapInPandas(place, "own bigint, run bigint, slot bigint")
+    # One entry per run in each list.
+    entries = F.array_sort(F.collect_list(F.struct("run", "z")))
+    values = stored(placed.join(slots.select("slot", "z"), "slot").groupBy("own").agg(entries["z"].alias("zs")))
+    both = linked.join(values.withColumnsRenamed({"own": "a", "zs": "za"}), "a").join(
+        values.withColumnsRenamed({"own": "b", "zs": "zb"}), "b")
+    products = both.select(F.posexplode(F.zip_with("za", "zb", lambda p, q: p * q * F.col("w"))).alias("run", "product"))
+    sums = stored(products.groupBy("run").agg(F.sum("product").alias("total")))
+    observed = sums.filter("run = 0").select("total").scalar()
+    return sums.filter("run > 0").agg(F.count_if(F.col("total") >= observed - slack).alias("larger"))
+
+
 def lisa(units: DataFrame, value: str = "offense_count", id: str = "GEOID", permutations: int = PERMUTATIONS,
          seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Local table and the one-row global ``I, p_sim``, both by permutation."""

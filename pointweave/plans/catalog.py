@@ -524,9 +524,64 @@ def getis_ord_z_without_self(spark, sf_dir):
     return rounded(z.select("cell_id", "gi_z_score"), 6, "gi_z_score")
 
 
-@query()
+def _mixed_sql(x: str) -> str:
+    p = autocorrelation.PRIME
+    square = f"({x}) * ({x}) % {p}"
+    return f"({square} * ({square}) % {p} * ({x}) % {p})"
+
+
+def _key_sql(slot: str) -> str:
+    """The key of a slot's run, with the default seed."""
+    p = autocorrelation.PRIME
+    return _mixed_sql(f"({_mixed_sql(f'(CAST({pow(42, 5, p)} AS BIGINT) + {slot}) % {p}')} + run) % {p}")
+
+
+def _permuted_sql(source: str, n: int, keep: str) -> str:
+    """``source`` with ``place`` sent through the keyed permutation of 0 to n - 1, one subquery a round."""
+    p, a = autocorrelation.PRIME, int(np.floor(np.sqrt(n - 1))) + 1
+    b = -(-n // a)
+    for again in range(a * b - n + 1):
+        turns = ", ".join(f"{_mixed_sql(f'(key + {i + 1}) % {p}')} AS t{i}" for i in range(autocorrelation.ROUNDS))
+        source = f"(SELECT *, place // {b} AS l, place % {b} AS r, {turns} FROM {source} AS s)"
+        for i in range(autocorrelation.ROUNDS):
+            moving, other, base = ("r", "l", b) if i % 2 else ("l", "r", a)
+            mixed = _mixed_sql(f"({other} + t{i}) % {p}")
+            source = f"(SELECT * REPLACE (({moving} + {mixed}) % {base} AS {moving}) FROM {source} AS s)"
+        moved = f"CASE WHEN place >= {n} THEN l * {b} + r ELSE place END" if again else f"l * {b} + r"
+        source = f"(SELECT {keep}, key, {moved} AS place FROM {source} AS s)"
+    return source
+
+
+_COUNTIES = views.COUNTY_COLS * views.COUNTY_ROWS
+_TOP, _RUNS = autocorrelation.TIE, autocorrelation.PERMUTATIONS
+UNITS = LOCATED + f""", units AS MATERIALIZED (SELECT c."GEOID", i, j, CAST(coalesce(n, 0) AS BIGINT) AS offense_count, CAST(coalesce(n, 0) AS DOUBLE) AS x,
+row_number() OVER (ORDER BY c."GEOID") - 1 AS slot FROM counties AS c
+LEFT JOIN (SELECT county, count(*) AS n FROM located GROUP BY 1) AS t ON t.county = c.county_name),
+links AS MATERIALIZED (SELECT a.slot AS a, b.slot AS b, 1e0 / count(*) OVER (PARTITION BY a.slot) AS w FROM units AS a JOIN units AS b
+ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND a.slot <> b.slot),
+devs AS MATERIALIZED (SELECT *, x - avg(x) OVER () AS z, count(*) OVER () AS n, avg(x) OVER () AS m, stddev_pop(x) OVER () AS sd FROM units),
+runs AS (SELECT range AS run FROM range(1, {_RUNS + 1}))"""
+_PICKED = _permuted_sql(f"(SELECT slot, run, place, key FROM (SELECT slot, run, unnest(range(degree)) AS place, {_key_sql('slot')} AS key "
+                        "FROM lagged, runs) AS k)", _COUNTIES - 1, "slot, run")
+
+
+def _conditional_sql(value: str, sign: str) -> str:
+    return f"""{UNITS}, lagged AS MATERIALIZED (SELECT d.*, {value} AS v, t.lag, t.degree, {sign} AS side FROM devs AS d
+JOIN (SELECT a, avg({value}) AS lag, count(*) AS degree FROM links JOIN devs ON slot = b GROUP BY 1) AS t ON t.a = d.slot),
+means AS (SELECT p.slot, run, avg(o.v) AS mean FROM {_PICKED} AS p
+JOIN lagged AS o ON o.slot = p.place + CASE WHEN p.place >= p.slot THEN 1 ELSE 0 END GROUP BY 1, 2),
+tested AS MATERIALIZED (SELECT m.slot, (least(hits, {_RUNS} - hits) + 1) / {_RUNS + 1}e0 AS p FROM (SELECT m.slot,
+count(*) FILTER (mean * side >= lag * side - {_TOP} * (SELECT max(abs(v)) FROM lagged)) AS hits FROM means AS m JOIN lagged AS l ON l.slot = m.slot GROUP BY 1) AS m)"""
+
+
+@query(sql(_conditional_sql("x", "1e0"), """SELECT "GEOID", offense_count, round(z, 6) AS gi_z_score, p AS gi_p_value, z > 1.645 AND p < 0.1 AS hotspot_90,
+z > 1.96 AND p < 0.05 AS hotspot_95, z > 2.576 AND p < 0.01 AS hotspot_99, z < -1.96 AND p < 0.05 AS coldspot_95, p < 0.05 AS significant
+FROM (SELECT "GEOID", offense_count, p, ((lag * degree + x) / (degree + 1) - m) / (sd * sqrt((n / (degree + 1e0) - 1) / (n - 1e0))) AS z
+FROM lagged AS l JOIN tested AS t ON t.slot = l.slot) AS u"""))
 def getis_ord_permutation(spark, sf_dir):
-    return autocorrelation.getis_ord(_county_units(spark, sf_dir), permutations=999).drop("geometry")
+    scored = autocorrelation.getis_ord(_county_units(spark, sf_dir))
+    return rounded(scored.select("GEOID", "offense_count", "gi_z_score", "gi_p_value", *autocorrelation.HOT_LEVELS,
+                                 *autocorrelation.COLD_LEVELS, "significant"), 6, "gi_z_score")
 
 
 @query(sql(f"{LAGGED}, {_G_STATS}", """SELECT cell_id, round(z, 6) AS gi_z_score, CASE WHEN z > 2.576 THEN 'Hot Spot 99%' WHEN z > 1.96
@@ -546,14 +601,27 @@ def local_moran(spark, sf_dir):
     return rounded(table.select("cell_id", "lisa_I"), 6, "lisa_I")
 
 
-@query()
+@query(sql(_conditional_sql("z", "sign(z)"), """SELECT "GEOID", offense_count, round((n - 1) * z * lag / (n * sd * sd), 6) AS "lisa_I", round(lag, 6) AS lisa_lag,
+p AS lisa_p, p < 0.05 AS lisa_sig, CASE WHEN p >= 0.05 THEN 'Not Significant' WHEN z > 0 AND lag > 0 THEN 'HH' WHEN z <= 0 AND lag > 0 THEN 'LH'
+WHEN z <= 0 THEN 'LL' ELSE 'HL' END AS lisa_quadrant FROM lagged AS l JOIN tested AS t ON t.slot = l.slot"""))
 def lisa_permutation(spark, sf_dir):
-    return autocorrelation.local_moran(_county_units(spark, sf_dir)).drop("geometry")
+    table = autocorrelation.local_moran(_county_units(spark, sf_dir))
+    return rounded(table.select("GEOID", "offense_count", "lisa_I", "lisa_lag", "lisa_p", "lisa_sig", "lisa_quadrant"),
+                   6, "lisa_I", "lisa_lag")
 
 
-@query()
+_RELABELED = _permuted_sql(f"(SELECT slot, run, place, key FROM (SELECT slot, run, slot AS place, {_key_sql(str(_COUNTIES))} AS key "
+                           "FROM devs, runs) AS k)", _COUNTIES, "slot, run")
+
+
+@query(sql(UNITS, f""", mixed AS MATERIALIZED (SELECT p.slot, run, o.z FROM {_RELABELED} AS p JOIN devs AS o ON o.slot = p.place
+UNION ALL SELECT slot, 0, z FROM devs), sums AS MATERIALIZED (SELECT a.run, sum(w * a.z * b.z) AS total FROM links AS l JOIN mixed AS a ON a.slot = l.a
+JOIN mixed AS b ON b.slot = l.b AND b.run = a.run GROUP BY 1),
+s AS (SELECT (SELECT total FROM sums WHERE run = 0) AS observed, (SELECT sum(z * z) FROM devs) AS zz),
+h AS (SELECT count(*) AS hits FROM sums, s WHERE run > 0 AND total >= observed - {_TOP} * zz)
+SELECT round({_COUNTIES} / (SELECT sum(w) FROM links) * observed / zz, 6) AS "I", (least(hits, {_RUNS} - hits) + 1) / {_RUNS + 1}e0 AS p_sim FROM s, h"""))
 def global_moran_permutation(spark, sf_dir):
-    return autocorrelation.global_moran_permutation_p(_county_units(spark, sf_dir))
+    return rounded(autocorrelation.global_moran_permutation_p(_county_units(spark, sf_dir)), 6, "I")
 
 
 def _moran_sql(variables: dict[str, str], digits: int, tail: str) -> str:
@@ -583,7 +651,7 @@ def moran_by_type(spark, sf_dir):
 
 # Density and Ripley ----------------------------------------------------------------------------------------------
 
-_GRID = 20
+_GRID = 300
 KDE = CLEAN + f""", s AS MATERIALIZED (SELECT count(*) AS n, min(longitude) - (max(longitude) - min(longitude)) * 0.05e0 AS x0,
 max(longitude) + (max(longitude) - min(longitude)) * 0.05e0 AS x1, min(latitude) - (max(latitude) - min(latitude)) * 0.05e0 AS y0,
 max(latitude) + (max(latitude) - min(latitude)) * 0.05e0 AS y1, pow(count(*), -1e0 / 3) AS f2, var_samp(longitude) AS xx,
@@ -591,14 +659,17 @@ var_samp(latitude) AS yy, covar_samp(longitude, latitude) AS xy FROM clean),
 h AS MATERIALIZED (SELECT *, f2 * f2 * (xx * yy - xy * xy) AS det FROM s),
 axis_x AS (SELECT CAST(range AS INTEGER) AS gx, range * ((x1 - x0) / {_GRID - 1}e0) + x0 AS lon FROM range({_GRID}), s),
 axis_y AS (SELECT CAST(range AS INTEGER) AS gy, range * ((y1 - y0) / {_GRID - 1}e0) + y0 AS lat FROM range({_GRID}), s),
-surface AS MATERIALIZED (SELECT gx, gy, lon, lat, sum(exp(-0.5e0 * (f2 * yy * (lon - longitude) * (lon - longitude)
-- 2 * f2 * xy * (lon - longitude) * (lat - latitude) + f2 * xx * (lat - latitude) * (lat - latitude)) / det))
-/ (max(n) * 2 * pi() * sqrt(max(det))) AS density FROM axis_x CROSS JOIN axis_y CROSS JOIN clean CROSS JOIN h GROUP BY 1, 2, 3, 4)"""
+sloped AS MATERIALIZED (SELECT gx, latitude, -0.5e0 * f2 * yy * (lon - longitude) * (lon - longitude) / det AS e0,
+f2 * xy * (lon - longitude) / det AS e1 FROM axis_x, clean, h), curve AS (SELECT -0.5e0 * f2 * xx / det AS e2 FROM h),
+sums AS MATERIALIZED (SELECT gx, gy, sum(exp(e0 + (lat - latitude) * (e1 + (lat - latitude) * e2))) AS total
+FROM sloped, (SELECT gy, lat, e2 FROM axis_y, curve) AS y GROUP BY 1, 2),
+surface AS MATERIALIZED (SELECT gx, gy, lon, lat, total / (n * 2 * pi() * sqrt(det)) AS density
+FROM sums JOIN axis_x USING (gx) JOIN axis_y USING (gy), h)"""
 
 
-@query(sql(KDE, "SELECT gx, gy, round(lon, 6) AS lon, round(lat, 6) AS lat, round(density, 9) AS density FROM surface"))
+@query(sql(KDE, "SELECT gx, gy, round(lon, 6) AS lon, round(lat, 6) AS lat, round(density, 7) AS density FROM surface"))
 def kde_surface(spark, sf_dir):
-    return rounded(rounded(density.kernel_density(processed(spark, sf_dir), grid_size=_GRID), 6, "lon", "lat"), 9, "density")
+    return rounded(rounded(density.kernel_density(processed(spark, sf_dir), grid_size=_GRID), 6, "lon", "lat"), 7, "density")
 
 
 @query(sql(KDE, "SELECT gx, gy, density >= (SELECT quantile_cont(density, 0.9) FROM surface) AS is_hotspot FROM surface"))
@@ -607,12 +678,17 @@ def kde_hotspots(spark, sf_dir):
     return density.with_hotspots(surface).select("gx", "gy", "is_hotspot")
 
 
-_R = [float(r) for r in np.linspace(0.01, 0.5, 10)]
-RIPLEY = CLEAN + f""", r AS (SELECT unnest([{", ".join(repr(r) + "e0" for r in _R)}]) AS r),
-d AS MATERIALIZED (SELECT list_sum(list_transform([{", ".join(repr(r) + "e0" for r in _R)}], lambda v: CASE WHEN g > v THEN 1 ELSE 0 END)) AS bin,
-count(*) AS pairs FROM (SELECT sqrt((a.longitude - b.longitude) * (a.longitude - b.longitude) + (a.latitude - b.latitude) * (a.latitude - b.latitude)) AS g
-FROM clean AS a JOIN clean AS b ON a.longitude BETWEEN b.longitude - 0.51e0 AND b.longitude + 0.51e0) AS t WHERE g > 0 AND g <= 0.5e0 GROUP BY 1),
-k AS (SELECT r, coalesce((SELECT sum(pairs) FROM d WHERE bin <= CAST(round((r - 0.01e0) / {(_R[1] - _R[0])!r}e0) AS INTEGER)), 0)
+_R = [float(r) for r in ripley.DEFAULT_R]
+_STEP = _R[1] - _R[0]
+_AT_LEAST = "greatest(CAST(floor((g - 0.01e0) / " + repr(_STEP) + "e0) AS INTEGER) - 1, 0)"
+# The bin of a distance is the number of radii below it: a guess from the even steps, then exact comparisons around it.
+RIPLEY = CLEAN + f""", radii AS MATERIALIZED (SELECT [{", ".join(repr(r) + "e0" for r in _R)}] AS rs),
+r AS (SELECT unnest(rs) AS r, unnest(range(len(rs))) AS nth FROM radii),
+d AS MATERIALIZED (SELECT low + CAST(g > rs[low + 1] AS INTEGER) + CAST(coalesce(g > rs[low + 2], false) AS INTEGER) + CAST(coalesce(g > rs[low + 3], false) AS INTEGER) AS bin,
+count(*) AS pairs FROM (SELECT g, {_AT_LEAST} AS low FROM (SELECT sqrt((a.longitude - b.longitude) * (a.longitude - b.longitude)
++ (a.latitude - b.latitude) * (a.latitude - b.latitude)) AS g
+FROM clean AS a JOIN clean AS b ON a.longitude BETWEEN b.longitude - 2.01e0 AND b.longitude + 2.01e0) AS t WHERE g > 0 AND g <= {_R[-1]!r}e0) AS p, radii GROUP BY 1),
+k AS (SELECT r, coalesce((SELECT sum(pairs) FROM d WHERE bin <= nth), 0)
 / (n / area * n) AS k FROM r, (SELECT count(*) AS n, (max(longitude) - min(longitude)) * (max(latitude) - min(latitude)) AS area FROM clean) AS s)"""
 
 
@@ -677,12 +753,12 @@ def cluster_hulls(spark, sf_dir):
 
 @query()
 def kmeans_centres(spark, sf_dir):
-    return kmeans.run_kmeans(processed(spark, sf_dir), k=6, starts=3).centres
+    return kmeans.run_kmeans(processed(spark, sf_dir), k=8, starts=20).centres
 
 
 @query()
 def kmeans_elbow(spark, sf_dir):
-    return kmeans.elbow(processed(spark, sf_dir), k_values=range(2, 6), starts=2)
+    return kmeans.elbow(processed(spark, sf_dir), k_values=range(2, 15), starts=10)
 
 
 # Models ----------------------------------------------------------------------------------------------------------

@@ -65,15 +65,36 @@ def test_moran(lattice):
     assert [r.lisa_I for r in out] == pytest.approx(list((n - 1) * z * (wr @ z) / (z @ z)))
 
 
-@pytest.mark.parametrize("bound", [A.BROADCAST_VALUES, 10])
-def test_permutation_p(monkeypatch, lattice, bound):
+def test_permutations_are_bijections():
+    for n in (1, 2, 3, 7, 36, 119, 1000):
+        for run in (1, 2):
+            got = A._permuted(np.arange(n), n, A._keys(42, 5, run))
+            assert sorted(got) == list(range(n))
+    first = [A._permuted(np.arange(20), 20, A._keys(42, 0, run))[0] for run in range(1, 2001)]
+    counts = np.bincount(first, minlength=20)
+    assert ((counts - 100) ** 2 / 100).sum() < 45  # chi-square with 19 degrees of freedom, p about 0.001
+
+
+def test_permutation_p(monkeypatch, lattice):
     units, w, x = lattice
-    monkeypatch.setattr(A, "BROADCAST_VALUES", bound)
-    out = {r.id: r for r in A.local_moran(units, "v", "id", permutations=199).collect()}
-    assert out[0].lisa_quadrant == "HH" and out[0].lisa_p <= 0.02
-    assert all(1 / 200 <= r.lisa_p <= 0.505 for r in out.values())
-    r = A.global_moran_permutation_p(units, "v", "id", permutations=199).first()
-    assert r.p_sim <= 0.05
+    found = []
+    for bound, batch in ((A.BROADCAST_VALUES, A.DRAWS_PER_BATCH), (0, 300)):
+        monkeypatch.setattr(A, "BROADCAST_VALUES", bound)
+        monkeypatch.setattr(A, "DRAWS_PER_BATCH", batch)
+        local = {r.id: r for r in A.local_moran(units, "v", "id", permutations=199).collect()}
+        spots = {r.id: r.gi_p_value for r in A.getis_ord(units, "v", "id", permutations=199).collect()}
+        whole = A.global_moran_permutation_p(units, "v", "id", permutations=199).first()
+        assert local[0].lisa_quadrant == "HH" and local[0].lisa_p <= 0.02 and whole.p_sim <= 0.05
+        assert all(1 / 200 <= r.lisa_p <= 0.505 for r in local.values())
+        found.append(({i: r.lisa_p for i, r in local.items()}, spots, whole.p_sim))
+    assert found[0] == found[1]
+    # Against draws by another generator.
+    rng, n = np.random.default_rng(3), len(x)
+    for i in range(n):
+        others, k = np.delete(x, i), int(w[i].sum())
+        means = np.array([rng.choice(others, k, replace=False).mean() for _ in range(2000)])
+        larger = (means >= w[i] @ x / k - 1e-12).mean()
+        assert found[0][1][i] == pytest.approx(min(larger, 1 - larger), abs=0.12)
 
 
 def test_permutation_p_does_not_depend_on_partitioning(lattice):
