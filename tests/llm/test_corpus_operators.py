@@ -55,6 +55,25 @@ def test_equal_values_stay_linked(spark):
     assert replaced(spark, "Jo.1@X.example.com")[0].text == replaced(spark, "jo.1@x.example.com")[0].text
 
 
+def test_neighbours_do_not_hide_values(spark):
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    alone, bank, solid = (r.text for r in replaced(spark, card, iban, "4111111111111111"))
+    texts = [f"{card} 123", f"{card} 12/27", "Order 12 4111111111111111", f"1234 {card} 123", f"{iban} EUR",
+             "AT611904300234573201 BIC", f"AT12 {iban}", f"AB12 {card}"]
+    expected = [f"{alone} 123", f"{alone} 12/27", f"Order 12 {solid}", f"1234 {alone} 123", f"{bank} EUR",
+                bank.replace(" ", "") + " BIC", f"AT12 {bank}", f"AB12 {alone}"]
+    assert [r.text for r in replaced(spark, *texts)] == expected
+    rows = replaced(spark, f"{card} 2021-01-05", "123 555-123-4567", "2021-03-04T10:00:00Z", f"{card} 10.0.0.1", "\ufdd1 a@b.com \ufdd0")
+    assert [(r.n_values, r.n_card, r.n_date, r.n_phone, r.n_ip, r.n_email) for r in rows] == [
+        (2, 1, 1, 0, 0, 0), (1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 0, 0), (2, 1, 0, 0, 1, 0), (1, 0, 0, 0, 0, 1)]
+    assert rows[0].text.startswith(alone) and rows[2].text.endswith("T10:00:00Z") and rows[4].text[0] == "\ufdd1"
+
+
+def test_long_runs_of_numbers(spark):
+    row, = replaced(spark, "7 " * 30_000 + "x")
+    assert len(row.text) == 60_001
+
+
 def test_feistel_is_a_permutation(spark):
     a, b = pii.feistel(F.col("id") % 20, F.floor(F.col("id") / 20), F.lit(20), F.lit(30), "key", F.lit("t"))
     pairs = spark.range(600).select(a.alias("a"), b.alias("b")).collect()
