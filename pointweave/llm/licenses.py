@@ -207,13 +207,15 @@ def _overlap(own: Column, template: str) -> Column:
 
 
 def notices(lines: DataFrame, classifier: Classifier, confirm: float = CONFIRM) -> DataFrame:
-    """``id, nth, family, probability, likeness, confirmed`` of every paragraph that is predicted to be a notice."""
+    """``id, nth, family, probability, likeness, known, confirmed`` of every paragraph that is more likely a notice of some
+    family than anything else. Below the calibrated threshold it is not ``known``, and never ``confirmed``."""
     scored = classifier.margins(lines).withColumn("best", classifier.best(F.col("margins")))
-    likely = scored.filter((F.col("best.family") != OTHER) & (F.col("best.probability") >= classifier.threshold))
+    likely = scored.filter(F.col("best.family") != OTHER)
     likely = likely.select("id", "nth", "best.family", "best.probability",
                            F.explode(F.array(trigrams(F.col("paragraph")))).alias("own"))
+    known = F.col("probability") >= classifier.threshold
     return likely.select("id", "nth", "family", "probability", _likeness(F.col("own"), F.col("family")).alias(
-        "likeness")).withColumn("confirmed", F.col("likeness") >= confirm)
+        "likeness"), known.alias("known")).withColumn("confirmed", F.col("known") & (F.col("likeness") >= confirm))
 
 
 def license_table(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE,
@@ -221,7 +223,7 @@ def license_table(docs: DataFrame, id: str = "doc_id", text: str = "text", sampl
     """``id, n_paragraphs, licenses, license, probability, n_unknown`` of every row.
 
     ``licenses`` are the confirmed families in order, ``license`` the most probable one (null if none), ``n_unknown`` the
-    paragraphs predicted to be notices that no template confirms. Null and empty texts have no paragraphs. Rows that
+    paragraphs predicted to be notices that are below the calibrated threshold or that no template confirms. Null and empty texts have no paragraphs. Rows that
     share an id share their notices, rows with a null id form one document in this. An empty table gives an empty result
     without a fit, other columns are ignored.
     """

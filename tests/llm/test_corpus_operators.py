@@ -326,3 +326,15 @@ def test_unseen_wordings(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, expected array<string>")
     found = {r.doc_id: r.licenses for r in licenses.license_table(frame, sample=50).collect()}
     assert found == {i: e for i, _, e in rows}
+
+
+def test_notices_below_the_threshold_are_unknown(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (2, "all the general public was there")],
+                                  "doc_id bigint, text string")
+    lines = licenses.paragraphs(frame, "doc_id", "text")
+    strict = licenses.fit(lines, 50)
+    strict.threshold = 1.1
+    assert [(r.id, r.known, r.confirmed) for r in licenses.notices(lines, strict).collect()] == [(1, False, False)]
+    monkeypatch.setattr(licenses, "fit", lambda *_: strict)
+    found = {r.doc_id: (r.licenses, r.n_unknown) for r in licenses.license_table(frame).collect()}
+    assert found == {1: ([], 1), 2: ([], 0)}
