@@ -778,19 +778,19 @@ def feature_table(spark, sf_dir):
 
 @query()
 def random_forest_metrics(spark, sf_dir):
-    return model.train_random_forest(_features(spark, sf_dir), trees=20, max_depth=8, folds=2, id="cell_id").metrics
+    return model.train_random_forest(_features(spark, sf_dir), id="cell_id").metrics
 
 
 @query()
 def gradient_boosting_importances(spark, sf_dir):
-    return model.train_gradient_boosting(_features(spark, sf_dir), rounds=10, folds=2, id="cell_id").importances
+    return model.train_gradient_boosting(_features(spark, sf_dir), id="cell_id").importances
 
 
 @query()
 def risk_grid(spark, sf_dir):
     units = cells(spark, sf_dir)
-    trained = model.train_random_forest(_features(spark, sf_dir), trees=10, max_depth=6, folds=2, id="cell_id")
-    return layers.risk_layer(model.risk_grid(trained, units, 25))
+    trained = model.train_random_forest(_features(spark, sf_dir), id="cell_id")
+    return layers.risk_layer(model.risk_grid(trained, units))
 
 
 # Layers ----------------------------------------------------------------------------------------------------------

@@ -86,3 +86,25 @@ def test_entry(spark):
 def test_counties_view(spark):
     assert views.counties(spark).count() == 120 and views.population(spark).count() == 960
     assert views.incidents(spark, SMALL).count() == 1000
+
+
+def test_model_queries_run_at_the_defaults(spark, monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from pointweave.operators import model as m
+    from pointweave.plans import catalog
+
+    seen = []
+    for name in ("train_random_forest", "train_gradient_boosting", "risk_grid"):
+        def record(*args, _of=inspect.signature(getattr(m, name)), **named):
+            bound = _of.bind(*args, **named).arguments
+            seen.append(sorted(set(bound) - {"features", "trained", "study_area", "id"}))
+            return SimpleNamespace(metrics=None, importances=None)
+        monkeypatch.setattr(m, name, record)
+    for name in ("_features", "cells"):
+        monkeypatch.setattr(catalog, name, lambda *_: None)
+    monkeypatch.setattr(catalog.layers, "risk_layer", lambda grid: grid)
+    for name in ("random_forest_metrics", "gradient_boosting_importances", "risk_grid"):
+        catalog.QUERIES[name](spark, "")
+    assert seen == [[], [], [], []]
