@@ -59,13 +59,15 @@ def read_crime_json(spark: SparkSession, path: str) -> DataFrame:
     if "data" in types and types["data"].startswith("array"):
         others = [c for c in raw.columns if c != "data"]
         wrapped, bare = raw.filter(F.col("data").isNotNull()), raw.filter(F.col("data").isNull())
-        # Fields that stand beside a ``data`` list belong to the response; those of bare lists are the rest.
+        # Fields that stand beside a ``data`` list belong to the response, unless records of bare lists have them too.
         beside = wrapped.agg(*[F.count(c).alias(c) for c in others]).first().asDict() if others else {}
         fields = [c for c in others if not beside[c]]
         records = wrapped.select(F.explode("data").alias("record")).select("record.*") if types["data"].startswith(
             "array<struct") else None
         if fields:
-            own = flatten_structs(bare.dropna("all", subset=fields).select(*[quoted(c) for c in fields]))
+            bare = bare.dropna("all", subset=fields)
+            held = bare.agg(*[F.count(c).alias(c) for c in others]).first().asDict()
+            own = flatten_structs(bare.select(*[quoted(c) for c in others if held[c] or not beside[c]]))
             records = own if records is None else flatten_structs(records).unionByName(own, allowMissingColumns=True)
         if records is None:
             return spark.createDataFrame([], T.StructType([]))

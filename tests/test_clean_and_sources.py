@@ -155,3 +155,10 @@ def test_fixed_sample_is_repeatable(spark):
     a = {r.id for r in summaries.fixed_sample(df.repartition(7), 100, "id").collect()}
     assert len(a) == 100 and a == {r.id for r in summaries.fixed_sample(df, 100, "id").collect()}
     assert summaries.fixed_sample(df, 5000, "id").count() == 1000
+
+
+def test_bare_records_keep_fields_named_like_the_envelopes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": [{"kind": "x", "n": 1}], "city": "envelope", "status": "ok"}')
+    (tmp_path / "b.json").write_text('[{"kind": "y", "n": 2, "city": "Oslo"}]')
+    table = readers.read_crime_json(spark, str(tmp_path))
+    assert sorted((r.kind, r.city) for r in table.collect()) == [("x", None), ("y", "Oslo")] and "status" not in table.columns
