@@ -16,16 +16,23 @@ follows, and control characters that are in no piece. Paths of frequent parts ar
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 SPACE = "▁"
 REMEMBERED = 400_000
+#: What the unknown id stands for in decoded text.
+UNKNOWN = " \u2047 "
+
+#: One replacement character for every byte that is no part of a valid character.
+codecs.register_error("each_byte", lambda error: ("\ufffd", error.start + 1))
 
 
 class Transducer:
@@ -42,6 +49,7 @@ class Transducer:
         self.rank: dict[str, float] = {}
         self.byte_ids: dict[int, int] = {}
         self.surface: list[str | int | None] = []
+        self.unknown = -1
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -49,6 +57,8 @@ class Transducer:
                 self.surface.append(int(piece[3:5], 16))
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.surface.append(None)
+                if model.is_unknown(i):
+                    self.unknown = i
             else:
                 self.ids[piece] = i
                 self.rank[piece] = -model.get_score(i)
@@ -182,23 +192,31 @@ class Transducer:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """Text of the ids; bytes that are no valid UTF-8 become replacement characters."""
-        surface = self.surface
-        parts = [surface[i] for i in ids]
+        """Text of the ids: the transducer run backwards.
+
+        Bytes that are no valid UTF-8 become one replacement character each, the unknown id ``UNKNOWN``, and control ids
+        nothing. Only a space at the start of the first piece is the dummy prefix, which goes.
+        """
         out: list[str] = []
         run = bytearray()
-        for p in parts:
-            if isinstance(p, int):
-                run.append(p)
-            elif p is not None:
-                if run:
-                    out.append(run.decode(errors="replace"))
-                    run.clear()
-                out.append(p)
-        if run:
-            out.append(run.decode(errors="replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        at_start = True
+        for i in ids:
+            piece = self.surface[i]
+            if isinstance(piece, int):
+                run.append(piece)
+                at_start = False
+                continue
+            if run:
+                out.append(run.decode(errors="each_byte"))
+                run.clear()
+            if piece is not None:
+                out.append((piece.removeprefix(SPACE) if at_start else piece).replace(SPACE, " "))
+                at_start = False
+            elif i == self.unknown:
+                out.append(UNKNOWN)
+                at_start = False
+        out.append(run.decode(errors="each_byte"))
+        return "".join(out)
 
 
 def _encoder(path: str):
@@ -233,9 +251,10 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``rows`` with the text of their ``ids`` in column ``out``; null ids have a null text."""
-    import pandas as pd
+    """``rows`` with the text of their ``ids`` in column ``out``; null ids have a null text, no ids an empty one.
 
+    Repeated rows are decoded each time, an empty table stays empty, and other columns stay as they are.
+    """
     @F.pandas_udf(T.StringType())
     def decode(values: pd.Series) -> pd.Series:
         machine = Transducer.at(path)

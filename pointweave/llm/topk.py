@@ -75,8 +75,9 @@ def _tile_top(k: int, scale: float):
         for at in range(0, len(query_ids), rows):
             own = query_ids[at:at + rows]
             scores = _products(queries[at:at + rows], items)
-            # One more than k, as the query's own row may be among them.
-            best = _best(scores, k + 1)
+            # As many more than k as there may be rows of the query's own id among them.
+            alike = np.searchsorted(item_ids, own, "right") - np.searchsorted(item_ids, own)
+            best = _best(scores, k + int(alike.max()))
             found, values = item_ids[best], np.take_along_axis(scores, best, axis=1)
             other = found != own[:, None]
             other &= np.cumsum(other, axis=1) <= k
@@ -96,13 +97,17 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, id: str = "vec_id",
 
     ``queries`` and ``items`` have a BIGINT ``id`` and an array ``vector``. An item is never a result for a query with
     its id. Ties go to the smaller id; with fewer than k others, all are returned. Null vectors, vectors with null or
-    non-finite components and rows with a null id take no part. Only vectors of equal length are compared. Of rows that
-    repeat an id, one takes part, the one with the smallest vector. Scores beyond 64 bits are held at the limits. Empty
-    tables give an empty result, other columns are ignored.
+    non-finite components and rows with a null id take no part. Only vectors of equal length are compared. Rows that
+    share an id are items of their own, so an id can be in a list more than once; queries that share an id have one
+    list, the best of all their pairs. Scores beyond 64 bits are held at the limits. Empty tables give an empty result,
+    other columns are ignored.
     """
     def sound(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("vector")).filter(
-            F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
+        rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("vector")).filter(
+            F.col("id").isNotNull() & usable(F.col("vector")))
+        # Of equal rows, no more than k can be in a list, so more need not travel.
+        copies = F.sequence(F.lit(1), F.least(F.count("*"), F.lit(k)).cast("int"))
+        return rows.groupBy("id", "vector").agg(copies.alias("copies")).select("id", "vector", F.explode("copies")).drop("col")
 
     queries, items = sound(queries), sound(items)
     cores = items.sparkSession.sparkContext.defaultParallelism
@@ -110,7 +115,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, id: str = "vec_id",
     # More tiles than needed for memory, if there are idle cores and a tile is still worth a task.
     item_tiles = max(1, math.ceil(n_items / item_tile), min(2 * cores, n_items // 2048))
     query_tiles = max(1, math.ceil(n_queries / query_tile))
-    key = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("bigint")
+    key = lambda n, salt: F.pmod(F.xxhash64("id", "vector", F.lit(salt)), F.lit(n)).cast("bigint")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     keys = ["tile", "query_tile", "size"]
     left = queries.select("*", key(query_tiles, 1).alias("query_tile"), F.size("vector").alias("size")).select(

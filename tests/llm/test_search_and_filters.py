@@ -10,11 +10,12 @@ from .conftest import SMALL
 
 
 def brute_top(rows, k, is_query):
-    sound = {i: np.floor(256 * np.array(v, float)).astype(int).tolist() for i, v in rows if i is not None and v is not None
-             and all(x is not None and np.isfinite(x) for x in v)}
+    sound = [(i, np.floor(256 * np.array(v, float)).astype(int).tolist()) for i, v in rows if i is not None and v is not None
+             and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in filter(is_query, sound):
-        scored = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q and len(v) == len(sound[q]))
+    for q in sorted({i for i, _ in sound if is_query(i)}):
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for j, own in sound if j == q
+                        for i, v in sound if i != q and len(v) == len(own))
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -29,7 +30,8 @@ def test_top_k_matches_brute_force(spark, tiles):
 def test_top_k_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]),
-            (6, [inf, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (50, [-1.0, 0.5]), (8, [1e9, 1e9]), (100, [])]
+            (6, [inf, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (50, [-1.0, 0.5]), (8, [1e9, 1e9]), (100, []),
+            (1, [3.0, 1.0]), (0, [-2.0, 1.0]), (0, [1.0, 2.0]), (1, [-7.0, 1.0])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, tile int")
     for k in (1, 3, 20):
         found = sorted(map(tuple, topk.top_k(frame.filter("vec_id % 50 = 0"), frame, k, item_tile=2, query_tile=1).collect()))
