@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import licenses, lm, mixing, pii, quality, sentencepiece_fst, simhash, token_counts, topk, urls
+from . import (html_text, licenses, lm, mixing, pii, quality, sentencepiece_fst, simhash, token_counts, topk, trie,
+               urls)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,3 +160,46 @@ def op9_sentencepiece(spark, sf_dir):
 @query()
 def op10_licenses(spark, sf_dir):
     return licenses.license_table(table(spark, sf_dir, "documents"))
+
+
+#: The given pages hold their text in one ``article`` of headings and paragraphs, so patterns can cut it out.
+@query(r"""WITH article AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+blocks AS (SELECT page_id, url, string_split_regex(a, '</?(p|h1)>') AS bs FROM article),
+plain AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    replace(b, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+    '[\s\xA0]+', ' ', 'g')) FOR b IN bs] AS bs FROM blocks),
+joined AS (SELECT page_id, url, array_to_string([b FOR b IN bs IF b <> ''], chr(10)) AS text FROM plain)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined""")
+def op11_html_text(spark, sf_dir):
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+#: CRC-32 of a conversation's number, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda v, b: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+@query(f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+head AS (SELECT c.conv_id, t.pos AS d, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h),
+taken AS (SELECT conv_id, count(*) AS k FROM head GROUP BY conv_id),
+r AS (SELECT * FROM head UNION ALL SELECT conv_id, t.pos - c.h + coalesce(k, 0), t.role, t.text FROM t JOIN c USING (conv_id)
+    LEFT JOIN taken USING (conv_id) WHERE t.pos > c.h),
+p AS MATERIALIZED (SELECT conv_id, d, length(text) AS chars,
+    string_agg(md5(md5(role) || md5(text)), '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars FROM p GROUP BY path, d),
+child AS (SELECT left(path, 32 * (d - 1)) AS path, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+above AS (SELECT path, d, n, chars, unnest(range(0, d + 1)) AS up FROM node),
+below AS (SELECT left(a.path, 32 * a.up) AS path, count(*) FILTER (child.k IS NULL) AS leaves, sum((a.n - 1) * a.chars) AS saved
+    FROM above AS a LEFT JOIN child ON child.path = a.path GROUP BY 1),
+last AS (SELECT conv_id, max_by(path, d) AS path FROM p GROUP BY conv_id),
+ends AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM last GROUP BY path)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, node.n AS n_convs,
+    coalesce(child.k, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+    sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below USING (path) LEFT JOIN child USING (path) LEFT JOIN ends USING (path)
+LEFT JOIN node AS parent ON node.d > 0 AND parent.path = left(node.path, 32 * (node.d - 1))""")
+def op13_conversation_trie(spark, sf_dir):
+    return trie.trie(table(spark, sf_dir, "conversations"))
