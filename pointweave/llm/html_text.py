@@ -49,8 +49,11 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDS_ITEMS = frozenset("ul ol menu dl table select".split())
 
 SIGMA = 1.0
+APART = 3
+#: The share of a container's core that one inside it must hold to be the region in its place.
 MOST = 0.6
 _WORDS = re.compile(r"[a-z0-9]+")
+_BROKEN_OFF = re.compile("<[a-zA-Z/!?]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -91,6 +94,12 @@ class Lines(HTMLParser):
         """Line and column numbers are not asked for, so newlines need no counting."""
         return j
 
+    def close(self) -> None:
+        """A comment or tag that the page breaks off in is no text."""
+        if _BROKEN_OFF.match(self.rawdata):
+            self.rawdata = ""
+        super().close()
+
     def border(self) -> None:
         if any(text.strip() for _, text, _ in self.chunks):
             self.lines.append((self.chunks, self.tags))
@@ -156,7 +165,10 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """The value between two clusters: halfway between the means of what lies below and above it, from the mean on."""
+    """The value between two clusters: halfway between the means of what lies below and above it, from the mean on.
+
+    Values that lie closer together than one to ``APART`` are a single cluster, which all lies above.
+    """
     at = float(values.mean())
     for _ in range(50):
         above = values >= at
@@ -166,7 +178,8 @@ def threshold(values: np.ndarray) -> float:
         if abs(moved - at) < 1e-9:
             break
         at = float(moved)
-    return at
+    above = values >= at
+    return at if above.all() or APART * values[~above].mean() < values[above].mean() else float(values.min())
 
 
 class Page:
@@ -282,6 +295,9 @@ class Page:
         inside = self.below({at})
         own = [i for i in range(len(core)) if inside[self.places[i]]]
         marked = [i for i in own if core[i]]
+        if not marked:
+            # Links and nothing else.
+            return [False] * len(core)
         first, last = marked[0], marked[-1]
         heading = lambda i: events.tag[self.places[i]] in HEADINGS
         while first > 0 and inside[self.places[first - 1]] and heading(first - 1):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import (html_text, licenses, lm, mixing, pii, quality, sentencepiece_fst, simhash, token_counts, topk, trie,
+from . import (html_text, licenses, lm, mixing, pii, quality, ranked, sentencepiece_fst, simhash, token_counts, topk, trie,
                urls)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,6 +174,25 @@ def op11_html_text(spark, sf_dir):
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+
+def _terms_sql(table: str) -> str:
+    return rf"""regexp_extract_all(translate(coalesce({table}.text, ''), '{ranked.UPPER}', '{ranked.LOWER}'), '{ranked.TERM}')"""
+
+
+@query(rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("documents")} AS ts FROM documents),
+g AS (SELECT CAST(count(*) FILTER (len(ts) > 0) AS BIGINT) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+q AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_terms_sql("benchmark")}) AS ts FROM benchmark),
+qt AS (SELECT i, item_id, unnest(ts) AS term FROM q),
+tf AS MATERIALIZED (SELECT r, doc_id, any_value(length) AS length, term, count(*) AS tf
+    FROM (SELECT r, doc_id, len(ts) AS length, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY r, doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * length * n) // l)))) AS BIGINT) AS score
+    FROM qt JOIN tf USING (term) JOIN w USING (term), g GROUP BY i, item_id, r, doc_id),
+ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10""")
+def op12_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 10)
+
 #: CRC-32 of a conversation's number, bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
     lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda v, b: xor(v >> 1, 3988292384 * (v & 1)))))"""

@@ -70,12 +70,15 @@ class SpillingQueue:
             heapq.heappush(self.runs, (_RECORD.unpack(record), self.made, raw))
 
     def take(self, key: tuple[int, int, int]) -> Iterator[tuple[int, ...]]:
-        """All messages to ``key``. Keys are asked for in ascending order."""
-        while self.young and self.young[0][:3] == key:
-            yield heapq.heappop(self.young)
-        while self.runs and self.runs[0][0][:3] == key:
+        """All messages to ``key``. Keys are asked for in ascending order; those left out are nodes of other shards."""
+        while self.young and self.young[0][:3] <= key:
+            message = heapq.heappop(self.young)
+            if message[:3] == key:
+                yield message
+        while self.runs and self.runs[0][0][:3] <= key:
             message, _, raw = heapq.heappop(self.runs)
-            yield message
+            if message[:3] == key:
+                yield message
             self._next(raw)
 
 
