@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .cells import box_pairs
 from ..functions.columns import one_row
 from ..session import cut
 
@@ -96,53 +95,5 @@ def _as_blocks(points: pd.DataFrame, first_id: int, size: int) -> pd.DataFrame:
     })
 
 
-def grown(blocks: DataFrame, margin: Column) -> DataFrame:
-    """Block boxes widened by ``margin`` (with a hair of slack for rounding) on every side."""
-    pad = margin * F.lit(1 + 1e-9) + F.lit(1e-12)
-    return blocks.select("box_id", (F.col("min_x") - pad).alias("min_x"), (F.col("min_y") - pad).alias("min_y"),
-                         (F.col("max_x") + pad).alias("max_x"), (F.col("max_y") + pad).alias("max_y"))
-
-
-def _near_boxes(a: DataFrame, boxes: pd.DataFrame) -> DataFrame:
-    """Pairs of intersecting boxes when one side is a small, checked table that every task can hold."""
-    ids, x0, y0, x1, y1 = (boxes[c].to_numpy() for c in ("box_id", "min_x", "min_y", "max_x", "max_y"))
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                hit = ids[(x0 <= r.max_x) & (x1 >= r.min_x) & (y0 <= r.max_y) & (y1 >= r.min_y)]
-                yield pd.DataFrame({"a_id": np.full(len(hit), r.box_id), "b_id": hit,
-                                    "part": np.arange(len(hit)) // PARTNERS_PER_TASK})
-
-    return a.mapInPandas(near, "a_id bigint, b_id bigint, part bigint")
-
-
-def block_pairs(a: DataFrame, b: DataFrame, margin: Column, triangular: bool = False,
-                spread_by: tuple[Column | str, ...] = ("a_id", "b_id")) -> DataFrame:
-    """Both blocks of every pair whose boxes come within ``margin``, as columns ``a_*`` and ``b_*``.
-
-    ``part`` numbers groups of partners of one ``a`` block, so that a block with very many uses several tasks.
-    ``triangular`` keeps unordered pairs of one block table joined with itself. Up to SMALL_BOXES boxes are matched in
-    the tasks that hold the other side; more go through the cell join. The result has a fixed number of partitions,
-    hashed by ``spread_by``: the cost of a pair is not in its bytes, which is what adaptive coalescing looks at.
-    """
-    boxes_b = grown(b, F.lit(0.0))
-    few = boxes_b.limit(SMALL_BOXES + 1).toPandas()
-    if len(few) <= SMALL_BOXES:
-        pairs = _near_boxes(grown(a, margin), few)
-    else:
-        pairs = box_pairs(grown(a, margin), boxes_b, b.count()).withColumn("part", F.pmod("b_id", F.lit(8)))
-    if triangular:
-        pairs = pairs.filter(F.col("a_id") <= F.col("b_id"))
-    names = ("n", "xs", "ys", "carried", "min_x", "min_y", "max_x", "max_y")
-    left = a.select(F.col("box_id").alias("a_id"), *[F.col(n).alias("a_" + n) for n in names])
-    right = b.select(F.col("box_id").alias("b_id"), *[F.col(n).alias("b_" + n) for n in names])
-    dx = F.greatest(F.col("a_min_x") - F.col("b_max_x"), F.col("b_min_x") - F.col("a_max_x"), F.lit(0.0))
-    dy = F.greatest(F.col("a_min_y") - F.col("b_max_y"), F.col("b_min_y") - F.col("a_max_y"), F.lit(0.0))
-    joined = pairs.join(left, "a_id").join(right, "b_id").withColumn("gap", dx * dx + dy * dy)
-    boxes = [f"{side}_{n}" for side in "ab" for n in names if n[:3] in ("min", "max")]
-    return joined.drop(*boxes).repartition(task_count(a.sparkSession), *spread_by)
-
-
 def task_count(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,6 +1,6 @@
-"""Square cells, skew-safe cell joins and joins of intersecting boxes.
+"""Square cells and skew-safe cell joins.
 
-Spark has no spatial join, so points and boxes meet through an equi-join on cell keys. A cell may hold a large share
+Spark has no spatial join, so points meet through an equi-join on cell keys. A cell may hold a large share
 of all rows; ``hot_keys`` finds those (at most ``1 / share`` of them, so they always fit a broadcast) and the joins
 here split their rows over several tasks.
 """
@@ -11,8 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
+
 HOT_SHARE = 1 / 512
-MAX_LEVEL = 24
+# Rows of one key that one task of a grid join takes from either side: at most the square of it in pairs.
+TASK_ROWS = 4096
+# Crowded keys (a few numbers each) that are broadcast; a longer list is joined, and AQE splits what is skewed.
+BROADCAST_KEYS = 65_536
 
 
 def cell(value: Column, side: Column | float) -> Column:
@@ -50,6 +55,39 @@ def split_join(probe: DataFrame, data: DataFrame, keys: Sequence[str], spread: s
     return probe.join(data, [*keys, "part"]).drop("part")
 
 
+def crowded_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Keys on both sides with more than ``rows`` rows on either, with the parts that each side is cut into."""
+    counts = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_a")).join(
+        b.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_b")), list(keys))
+    parts = lambda n: F.ceil(F.col(n) / F.lit(rows)).cast("int")
+    return counts.filter((F.col("n_a") > rows) | (F.col("n_b") > rows)).select(
+        *keys, parts("n_a").alias("parts_a"), parts("n_b").alias("parts_b"))
+
+
+def in_grid(df: DataFrame, keys: Sequence[str], crowded: DataFrame, spread: Column, side: str, other: str) -> DataFrame:
+    """Rows with ``part_a`` and ``part_b``: their own part by a hash, and once for each part of the other side."""
+    parts = {s: F.coalesce(F.col(f"parts_{s}"), F.lit(1)) for s in (side, other)}
+    return df.join(crowded, list(keys), "left").withColumn(
+        f"part_{side}", F.pmod(spread, parts[side]).cast("int")).withColumn(
+        f"part_{other}", F.explode(F.sequence(F.lit(0), parts[other] - 1))).drop("parts_a", "parts_b")
+
+
+def grid_join(a: DataFrame, b: DataFrame, keys: Sequence[str], spread_a: Column, spread_b: Column,
+              rows: int = TASK_ROWS) -> DataFrame:
+    """Inner equi-join where a crowded key is a grid of ``parts_a`` x ``parts_b`` tasks.
+
+    Each holds about ``rows`` rows of either side, however many rows the key has on both. ``spread_a`` and ``spread_b`` are
+    hashes that tell rows of a key apart. Both sides must name the keys alike and share no other column.
+    """
+    crowded = cut(crowded_keys(a, b, keys, rows))
+    n = crowded.count()
+    if not n:
+        return a.join(b, list(keys))
+    crowded = F.broadcast(crowded) if n <= BROADCAST_KEYS else crowded
+    left, right = in_grid(a, keys, crowded, spread_a, "a", "b"), in_grid(b, keys, crowded, spread_b, "b", "a")
+    return left.join(right, [*keys, "part_a", "part_b"]).drop("part_a", "part_b")
+
+
 def lookup_join(df: DataFrame, table: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """Join ``df`` to a table with unique keys: rows of hot keys meet a broadcast of at most ``1 / share`` table rows,
     the others are shuffled."""
@@ -58,58 +96,3 @@ def lookup_join(df: DataFrame, table: DataFrame, keys: Sequence[str], hot: DataF
     hot_part = df.join(hot_only, list(keys), "left_semi").join(hot_table, list(keys), how)
     cold_part = df.join(hot_only, list(keys), "left_anti").join(table, list(keys), how)
     return hot_part.unionByName(cold_part)
-
-
-# Boxes: columns box_id, min_x, min_y, max_x, max_y --------------------------------------------------------------
-
-
-def _levelled(boxes: DataFrame, extent: Column) -> DataFrame:
-    """Finest level whose cells are at least as large as the box, so that it touches at most 2 x 2 of them."""
-    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    exact = F.when(size > 0, F.floor(F.log2(extent / size))).otherwise(F.lit(MAX_LEVEL))
-    return boxes.withColumn("own_level", F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), exact)).cast("int"))
-
-
-def _side(extent: Column, level: Column) -> Column:
-    return extent / F.pow(F.lit(2.0), level)
-
-
-def _in_cells(boxes: DataFrame, extent: Column, levels: Column, suffix: str) -> DataFrame:
-    """One row per level and touched cell."""
-    rows = boxes.withColumn("level", F.explode(levels))
-    side = _side(extent, F.col("level"))
-    rows = rows.withColumn("cx", F.explode(F.sequence(cell(F.col("min_x"), side), cell(F.col("max_x"), side))))
-    rows = rows.withColumn("cy", F.explode(F.sequence(cell(F.col("min_y"), side), cell(F.col("max_y"), side))))
-    names = ["box_id", "min_x", "min_y", "max_x", "max_y"]
-    return rows.select("level", "cx", "cy", *[F.col(n).alias(n + suffix) for n in names])
-
-
-def box_pairs(a: DataFrame, b: DataFrame, boxes_in_b: int) -> DataFrame:
-    """Pairs ``(a_id, b_id)`` of intersecting boxes, each once.
-
-    Boxes of any size meet at the coarser of their two levels: one side contributes its own level, the other its
-    ancestors. A pair seen in several cells is kept in the one holding the lower left corner of the intersection.
-    The repeated side is salted so that a crowded cell is spread over many tasks.
-    """
-    salts = max(1, min(256, boxes_in_b // 2048))
-    both = a.select("min_x", "min_y", "max_x", "max_y").unionByName(b.select("min_x", "min_y", "max_x", "max_y"))
-    extent = both.agg(F.greatest(F.max("max_x") - F.min("min_x"), F.max("max_y") - F.min("min_y"),
-                                 F.lit(1e-12)).alias("extent")).scalar()
-    a, b = _levelled(a, extent), _levelled(b, extent)
-    own = F.array(F.col("own_level"))
-    up_to_own = F.sequence(F.lit(0), F.col("own_level"))
-    above_own = F.when(F.col("own_level") > 0, F.sequence(F.lit(0), F.col("own_level") - 1))
-
-    def meet(a_levels: Column, b_levels: Column) -> DataFrame:
-        left = _in_cells(a, extent, a_levels, "_a").withColumn("salt", F.pmod(F.hash("box_id_a"), F.lit(salts)))
-        right = _in_cells(b, extent, b_levels, "_b").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = left.join(right, ["level", "cx", "cy", "salt"])
-        x0, y0 = F.greatest("min_x_a", "min_x_b"), F.greatest("min_y_a", "min_y_b")
-        side = _side(extent, F.col("level"))
-        return joined.filter(
-            (x0 <= F.least("max_x_a", "max_x_b")) & (y0 <= F.least("max_y_a", "max_y_b"))
-            & (cell(x0, side) == F.col("cx")) & (cell(y0, side) == F.col("cy"))
-        ).select(F.col("box_id_a").alias("a_id"), F.col("box_id_b").alias("b_id"))
-
-    return meet(own, up_to_own).unionByName(meet(above_own, own))

@@ -58,13 +58,13 @@ def _shortened(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
-def tiled_components(edges: DataFrame) -> DataFrame:
-    """Components of ``edges (src, dst, src_tile, dst_tile)`` where a tile holds a bounded number of vertices.
+TILE_BITS = 3
 
-    Edges inside a tile are contracted in one task per tile first; only edges between tiles go through the rounds.
-    """
-    vertex = edges.schema["src"].dataType
-    schema = T.StructType([T.StructField("id", vertex), T.StructField("label", vertex)])
+
+def _contracted(vertex: T.DataType):
+    """Labels of the vertices of one tile: the smallest vertex that its edges lead to."""
+    schema = T.StructType([T.StructField("tx", T.LongType()), T.StructField("ty", T.LongType()),
+                           T.StructField("id", vertex), T.StructField("label", vertex)])
 
     def contract(tile: pd.DataFrame) -> pd.DataFrame:
         ids, codes = np.unique(np.concatenate([tile["src"], tile["dst"]]), return_inverse=True)
@@ -77,20 +77,48 @@ def tiled_components(edges: DataFrame) -> DataFrame:
             np.minimum.at(new, b, low)
             new = new[new]
             if (new == label).all():
-                return pd.DataFrame({"id": ids, "label": ids[label]})
+                return pd.DataFrame({"tx": tile["tx"].iloc[0], "ty": tile["ty"].iloc[0], "id": ids, "label": ids[label]})
             label = new
 
-    inner = edges.filter(F.col("src_tile") == F.col("dst_tile")).select("src", "dst", F.col("src_tile").alias("tile"))
-    local = cut(inner.groupBy("tile").applyInPandas(contract, schema))
-    outer = edges.filter(F.col("src_tile") != F.col("dst_tile")).select("src", "dst")
-    ends = (outer.join(local.select(F.col("id").alias("src"), F.col("label").alias("a")), "src", "left")
-            .join(local.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst", "left")
-            .select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"), F.col("src").alias("s"),
-                    F.col("dst").alias("d")))
-    ends = cut(ends)
-    joined = components(ends.select("src", "dst"))
-    outside = ends.select(F.col("s").alias("id"), F.col("src").alias("label")).unionByName(
-        ends.select(F.col("d").alias("id"), F.col("dst").alias("label")))
-    every = local.unionByName(outside).distinct()
-    roots = joined.select(F.col("id").alias("label"), F.col("label").alias("root"))
-    return every.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    return contract, schema
+
+
+def tiled_components(edges: DataFrame) -> DataFrame:
+    """Components of ``edges (src, dst, src_tx, src_ty, dst_tx, dst_ty)``: ``id, label``, the smallest id of the component.
+
+    A vertex lies in one tile of a plane, which holds a bounded number of them, and edges join near vertices. Each tile is
+    contracted in one task. What is left are the edges between tiles, with the tiles' labels as ends; they are contracted in
+    tiles of 8 x 8 tiles, and so on, one written table a level, until no edge leaves its tile. A tile of any level so
+    has work in proportion to the borders inside it. The labels then come back down. All joins are within a tile, so a
+    component of half of all vertices is no key of any of them.
+    """
+    contract, schema = _contracted(edges.schema["src"].dataType)
+    tiles = [f"{end}_{c}" for end in ("src", "dst") for c in ("tx", "ty")]
+    first = edges.agg(*[F.least(F.min(f"src_{c}"), F.min(f"dst_{c}")).alias(c) for c in ("tx", "ty")]).first()
+    if first["tx"] is None:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("label"))
+    state = cut(edges.select("src", "dst", *[(F.col(t) - first[t[-2:]]).cast("bigint").alias(t) for t in tiles]))
+    within = (F.col("src_tx") == F.col("dst_tx")) & (F.col("src_ty") == F.col("dst_ty"))
+    maps: list[DataFrame] = []
+    while True:
+        ends = [state.filter(~within).select(F.col(end).alias("src"), F.col(end).alias("dst"), F.col(f"{end}_tx").alias("tx"),
+                                             F.col(f"{end}_ty").alias("ty")) for end in ("src", "dst")]
+        work = state.filter(within).select("src", "dst", F.col("src_tx").alias("tx"), F.col("src_ty").alias("ty"))
+        work = work.unionByName(ends[0].unionByName(ends[1]).distinct())
+        maps.append(cut(work.groupBy("tx", "ty").applyInPandas(contract, schema)))
+        outer = state.filter(~within)
+        if outer.isEmpty():
+            break
+        for end in ("src", "dst"):
+            named = maps[-1].select(F.col("tx").alias(f"{end}_tx"), F.col("ty").alias(f"{end}_ty"), F.col("id").alias(end),
+                                    F.col("label").alias(f"{end}_label"))
+            outer = outer.join(named, [f"{end}_tx", f"{end}_ty", end])
+        state = cut(outer.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"),
+                                 *[F.shiftright(t, TILE_BITS).alias(t) for t in tiles]).distinct())
+    result = maps[-1]
+    for below in reversed(maps[:-1]):
+        above = result.select(F.col("tx").alias("up_tx"), F.col("ty").alias("up_ty"), F.col("id").alias("up"), F.col("label").alias("top"))
+        up = below.withColumns({"up_tx": F.shiftright("tx", TILE_BITS), "up_ty": F.shiftright("ty", TILE_BITS), "up": F.col("label")})
+        # Labels whose tile no edge leaves are not taken up.
+        result = up.join(above, ["up_tx", "up_ty", "up"], "left").select("tx", "ty", "id", F.coalesce("top", "label").alias("label"))
+    return result.select("id", "label")

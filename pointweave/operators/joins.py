@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import geometry as G
-from ..functions.columns import one_row, squared_distance
-from .blocks import block_pairs, point_blocks
-from .cells import cell, hot_keys, neighbour_offsets, split_join
+from ..functions.columns import squared_distance
+from ..session import cut
+from .block_tree import DROP, FAN_BITS, OPEN, Tree, nearest_pairs, node_pairs, with_points
+from .blocks import point_blocks
+from .cells import cell, grid_join, neighbour_offsets
+from .polygon_index import cell_number, inside_cell, low_border, polygon_cells, right_border
 
-# A polygon index is broadcast only below this many edge entries (four doubles each, about 64 MB).
+# A polygon index is broadcast only below this many cells and edges (four doubles each, about 64 MB).
 BROADCAST_EDGES = 2_000_000
-# Cells an average polygon box spans per axis in the index.
-CELLS_PER_POLYGON = 4
 # A query table up to this size is held by every task; larger ones take the block route.
 SMALL_QUERIES = 1024
 # Points per block in neighbour searches: small, since a block meets all blocks around its box.
@@ -26,63 +26,49 @@ SEARCH_BLOCK = 256
 # Point in polygon ------------------------------------------------------------------------------------------------
 
 
-def _polygon_index(polygons: DataFrame, geometry: str, columns: list[str]) -> tuple[DataFrame, float, float]:
-    """One row per polygon and touched cell, holding only the edges that can decide a point of that cell."""
-    bounds = G.bounds(F.col(geometry))
-    boxed = polygons.select(*columns, F.col(geometry).alias("shape"), *[c.alias(n) for n, c in bounds.items()])
-    sides = boxed.agg(F.avg(F.col("max_x") - F.col("min_x")).alias("w"), F.avg(F.col("max_y") - F.col("min_y")).alias("h"),
-                      F.greatest(F.max("max_x") - F.min("min_x"), F.max("max_y") - F.min("min_y")).alias("ext")).first()
-    # Never more than 1024 cells across, so one polygon as large as the study area stays a bounded number of rows.
-    side_x = max((sides["w"] or 0.0) / CELLS_PER_POLYGON, (sides["ext"] or 0.0) / 1024, 1e-9)
-    side_y = max((sides["h"] or 0.0) / CELLS_PER_POLYGON, (sides["ext"] or 0.0) / 1024, 1e-9)
-    indexed = boxed.withColumn("edge", G.edges(F.col("shape"))).drop("shape")
-    indexed = indexed.withColumn(
-        "cx", F.explode(F.sequence(cell(F.col("min_x"), side_x), cell(F.col("max_x"), side_x))))
-    indexed = indexed.withColumn(
-        "cy", F.explode(F.sequence(cell(F.col("min_y"), side_y), cell(F.col("max_y"), side_y))))
-    # The ray of the parity test runs to the right, so edges above, below or left of the cell cannot matter.
-    slack_x, slack_y = side_x * 1e-9, side_y * 1e-9
-    relevant = F.filter("edge", lambda e: (
-        (F.greatest(e["y1"], e["y2"]) >= F.col("cy") * side_y - slack_y)
-        & (F.least(e["y1"], e["y2"]) <= (F.col("cy") + 1) * side_y + slack_y)
-        & (F.greatest(e["x1"], e["x2"]) >= F.col("cx") * side_x - slack_x)))
-    return indexed.withColumn("edge", relevant).filter(F.size("edge") > 0), side_x, side_y
-
-
 def join_polygons(points: DataFrame, polygons: DataFrame, columns: dict[str, str], lon: str = "longitude",
                   lat: str = "latitude", geometry: str = "geometry") -> DataFrame:
     """Left join of points to the polygons strictly containing them; one row per match, unmatched points kept.
 
-    ``columns`` maps polygon columns to output names. A point lies in exactly one cell and a polygon appears once per
-    cell, so a left join on the cell with the exact test as extra condition is already the result: the points are
-    never shuffled when the index is small, and never joined back. A large index is shuffled; its hot cells are split.
+    ``columns`` maps polygon columns to output names. The polygons become quadtree cells with few edges each
+    (``polygon_index``), and a point can only lie in the polygons of its own cell on each level that has any. With a small
+    index (checked) each level is a broadcast table of one row per cell, so points are never shuffled nor repeated. With a
+    larger one only a row number and the coordinates travel to the cells, crowded cells are grids of tasks, and the matches
+    are joined back by row number.
     """
     clashes = set(columns.values()) & set(points.columns)
     if clashes:
         raise ValueError(f"output columns already exist: {sorted(clashes)}")
-    index, side_x, side_y = _polygon_index(polygons, geometry, list(columns))
-    kept = [F.col(src).alias(dst) for src, dst in columns.items()]
-    index = index.select("cx", "cy", *[F.col(c).alias("p_" + c) for c in ("min_x", "min_y", "max_x", "max_y")],
-                         "edge", *kept)
-    located = points.withColumns({"cx": cell(F.col(lon), side_x), "cy": cell(F.col(lat), side_y)})
-    inside = (F.col(lon).between(F.col("p_min_x"), F.col("p_max_x"))
-              & F.col(lat).between(F.col("p_min_y"), F.col("p_max_y"))
-              & G.strictly_inside(F.col(lon), F.col(lat), F.col("edge")))
-    entries = index.agg(F.sum(F.size("edge")).alias("entries")).first()["entries"] or 0
-    if entries <= BROADCAST_EDGES:
-        on = (located["cx"] == index["cx"]) & (located["cy"] == index["cy"]) & inside
-        joined = located.join(F.broadcast(index), on, "left")
-    else:
-        hot = F.broadcast(hot_keys(located.select("cx", "cy"), ["cx", "cy"]))
-        parts = F.coalesce(F.col("parts"), F.lit(1))
-        located = located.join(hot, ["cx", "cy"], "left").withColumn(
-            "part", F.pmod(F.xxhash64(lon, lat, *points.columns[:1]), parts).cast("int")).drop("parts")
-        index = index.join(hot, ["cx", "cy"], "left").withColumn(
-            "part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        on = ((located["cx"] == index["cx"]) & (located["cy"] == index["cy"])
-              & (located["part"] == index["part"]) & inside)
-        joined = located.join(index, on, "left")
-    return joined.select(*points.columns, *columns.values())
+    level, cx, cy = F.col("level"), F.col("cx"), F.col("cy")
+    index = cut(polygon_cells(polygons, geometry, list(columns)).select(
+        "level", "cx", "cy", F.struct("edges", "corner", right_border(cx, level).alias("right"), low_border(cy, level).alias("low"),
+                                      *[F.col(src).alias(dst) for src, dst in columns.items()]).alias("polygon")))
+    size = index.agg(F.sum(F.size("polygon.edges") + 1).alias("entries"), F.collect_set("level").alias("levels")).first()
+    levels = sorted(size["levels"])
+    x, y = (F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in (lon, lat))
+
+    def inside(p: Column) -> Column:
+        return inside_cell(x, y, p["edges"], p["corner"], p["right"], p["low"])
+
+    if (size["entries"] or 0) <= BROADCAST_EDGES:
+        located, found = points, [F.array().cast(T.ArrayType(index.schema["polygon"].dataType))]
+        for at in levels:
+            own, kx, ky = (f"__{n}_{at + 100}" for n in ("polygons", "cx", "cy"))
+            cells = index.filter(level == at).groupBy(cx.alias(kx), cy.alias(ky)).agg(F.collect_list("polygon").alias(own))
+            on = (cell_number(x, at) == F.col(kx)) & (cell_number(y, at) == F.col(ky))
+            located = located.join(F.broadcast(cells), on, "left")
+            found.append(F.coalesce(F.col(own), found[0]))
+        matches = located.select(*points.columns, F.explode_outer(F.filter(F.concat(*found), inside)).alias("__match"))
+        return matches.select(*points.columns, *[F.col("__match")[c].alias(c) for c in columns.values()])
+    numbered = cut(points.withColumn("__row", F.monotonically_increasing_id()))
+    keys = F.array(*[F.struct(F.lit(at).alias("level"), cell_number(F.col("__x"), at).alias("cx"),
+                              cell_number(F.col("__y"), at).alias("cy")) for at in levels])
+    probes = numbered.select("__row", x.alias("__x"), y.alias("__y")).dropna().select(
+        "__row", "__x", "__y", F.explode(keys).alias("__key")).select("__row", "__x", "__y", "__key.*")
+    x, y = F.col("__x"), F.col("__y")
+    near = grid_join(probes, index, ["level", "cx", "cy"], F.xxhash64("__row"), F.xxhash64("polygon"))
+    hits = near.filter(inside(F.col("polygon"))).select("__row", "polygon").withColumnRenamed("polygon", "__match")
+    return numbered.join(hits, "__row", "left").select(*points.columns, *[F.col("__match")[c].alias(c) for c in columns.values()])
 
 
 def attach_county(incidents: DataFrame, counties: DataFrame, county_name: str = "county_name",
@@ -125,16 +111,21 @@ def _named(df: DataFrame, id: str, x: str, y: str, prefix: str) -> DataFrame:
 
 def range_join(queries: DataFrame, data: DataFrame, radius: float, query_id: str = "id", data_id: str = "id",
                x: str = "x", y: str = "y") -> DataFrame:
-    """All pairs within ``radius`` (inclusive): ``query_id, data_id, distance``; nothing for a radius of 0 or less."""
+    """All pairs within ``radius`` (inclusive): ``query_id, data_id, distance``; nothing for a radius of 0 or less.
+
+    Points meet in cells of the radius's size. A crowded cell is a grid of tasks, each with a bounded part of both sides.
+    """
     q, d = _named(queries, query_id, x, y, "q_"), _named(data, data_id, x, y, "d_")
     names = [F.col("q_id").alias("query_id"), F.col("d_id").alias("data_id")]
     if radius <= 0:
-        return q.join(d, F.lit(False)).select(*names, F.lit(0.0).alias("distance"))
+        schema = T.StructType([T.StructField("query_id", q.schema["q_id"].dataType),
+                               T.StructField("data_id", d.schema["d_id"].dataType), T.StructField("distance", T.DoubleType())])
+        return queries.sparkSession.createDataFrame([], schema)
     side = radius * (1 + 1e-9)
     d = d.withColumns({"cx": cell(F.col("d_x"), side), "cy": cell(F.col("d_y"), side)})
     q = q.withColumn("o", F.explode(neighbour_offsets(1))).withColumns(
         {"cx": cell(F.col("q_x"), side) + F.col("o.dx"), "cy": cell(F.col("q_y"), side) + F.col("o.dy")}).drop("o")
-    pairs = split_join(q, d, ["cx", "cy"], "d_id", hot_keys(d, ["cx", "cy"]))
+    pairs = grid_join(q, d, ["cx", "cy"], F.xxhash64("q_id"), F.xxhash64("d_id"))
     gap = squared_distance(F.col("d_x"), F.col("d_y"), F.col("q_x"), F.col("q_y"))
     return pairs.filter(gap <= radius * radius).select(*names, F.sqrt(gap).alias("distance"))
 
@@ -143,7 +134,9 @@ def count_within(queries: DataFrame, data: DataFrame, radius: float, query_id: s
                  y: str = "y") -> DataFrame:
     """Number of data points within ``radius`` of each query, 0 included: ``query_id, neighbours``.
 
-    Works on pairs of bounded blocks. Locations are counted once with a weight, and no pair of points leaves a task.
+    Works on pairs of bounded blocks. Locations are counted once with a weight. Blocks, or whole groups of blocks, that lie
+    within the radius of a block altogether count by their weights; only pairs that the radius cuts through read their
+    points, and no pair of points leaves a task.
     """
     every = queries.select(F.col(query_id).alias("query_id"))
     if radius <= 0:
@@ -151,10 +144,15 @@ def count_within(queries: DataFrame, data: DataFrame, radius: float, query_id: s
     weighted = _named(data.withColumn("one", F.lit(1)), "one", x, y, "").groupBy("x", "y").agg(
         F.count(F.lit(1)).alias("weight"))
     q = _named(queries, query_id, x, y, "")
-    q_blocks = point_blocks(q, "x", "y", "id", SEARCH_BLOCK)
-    d_blocks = point_blocks(weighted, "x", "y", "weight", SEARCH_BLOCK)
+    q_tree = Tree(point_blocks(q, "x", "y", "id", SEARCH_BLOCK), F.col("n"))
+    d_tree = Tree(point_blocks(weighted, "x", "y", "weight", SEARCH_BLOCK),
+                  F.aggregate("carried", F.lit(0).cast("bigint"), lambda a, w: a + w))
     limit = radius * radius
 
+    def decide(low: np.ndarray, high: np.ndarray, same: np.ndarray) -> np.ndarray:
+        # Distances of points are compared as squares; boxes decide with a hair to spare.
+        return np.where(low > radius * (1 + 1e-9), DROP, np.where(high < radius * (1 - 1e-9), 0, OPEN))
+
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -166,12 +164,27 @@ def count_within(queries: DataFrame, data: DataFrame, radius: float, query_id: s
                 some = hits > 0
                 yield pd.DataFrame({"query_id": np.asarray(row.a_carried)[a][some], "part": hits[some].astype("int64")})
 
+    pairs = node_pairs(q_tree, d_tree, decide)
+    opened = with_points(pairs.filter(F.col("code") == OPEN).select(F.col("a").alias("a_id"), F.col("b").alias("b_id")), q_tree, d_tree)
     schema = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField("part", T.LongType())])
-    parts = block_pairs(q_blocks, d_blocks, F.lit(float(radius))).mapInPandas(count_pairs, schema)
+    parts = opened.mapInPandas(count_pairs, schema)
+    whole = _of_blocks(pairs.filter(F.col("code") != OPEN).groupBy("level", "a").agg(F.sum("b_weight").alias("part")), q_tree, d_tree)
+    parts = parts.unionByName(whole.join(q_tree.blocks.select("box_id", "carried"), "box_id").select(
+        F.explode("carried").alias("query_id"), "part"))
     counted = parts.groupBy("query_id").agg(F.sum("part").alias("neighbours"))
     return every.join(counted, "query_id", "left").fillna(0, ["neighbours"])
 
 
+def _of_blocks(sums: DataFrame, tree: Tree, other: Tree) -> DataFrame:
+    """``box_id, part``: what the nodes above each block have been given, added up."""
+    if other.small:
+        return sums.select(F.col("a").alias("box_id"), "part")
+    height = max(len(tree.levels), len(other.levels))
+    above = tree.levels[0].select("box_id", F.posexplode(F.array(*[F.shiftright("node", FAN_BITS * at) for at in range(height)]))
+                                  ).select("box_id", F.col("pos").alias("level"), F.col("col").alias("a"))
+    return above.join(sums, ["level", "a"]).groupBy("box_id").agg(F.sum("part").alias("part"))
+
+
 def _closest(query: np.ndarray, id: np.ndarray, gap: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k smallest (gap, id) entries per query, sorted by query."""
     order = np.lexsort((id, gap, query))
@@ -256,41 +269,13 @@ def _scan_for(queries: pd.DataFrame, k: int):
 
 
 def _block_candidates(q: DataFrame, d: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Candidates through block pairs: each query block first gets a radius certain to hold k points."""
+    """Candidates through pairs of blocks; data far from a block of queries is dropped in whole groups of blocks."""
     # Only the k smallest ids of one location can be answers; the ranked filter also runs before the shuffle.
     place = Window.partitionBy("x", "y").orderBy("id")
     d = d.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k).drop("nth")
-    n_q, n_d = q.count(), d.count()
-    size = int(min(SEARCH_BLOCK, max(16, SEARCH_BLOCK * n_q / max(1, n_d))))
-    q_blocks, d_blocks = point_blocks(q, "x", "y", "id", size), point_blocks(d, "x", "y", "id", SEARCH_BLOCK)
-
-    # Count data points per cell at every level, from the finest up.
-    both = q_blocks.select("min_x", "min_y", "max_x", "max_y").unionByName(
-        d_blocks.select("min_x", "min_y", "max_x", "max_y"))
-    ext = one_row(both, x0=F.min("min_x"), y0=F.min("min_y"),
-                  size=F.greatest(F.max("max_x") - F.min("min_x"), F.max("max_y") - F.min("min_y"), F.lit(1e-12)))
-    top = 16
-    fine = ext["size"] * F.lit(1 + 1e-9) / F.lit(float(2**top))
-    fx, fy = cell(F.col("x") - ext["x0"], fine), cell(F.col("y") - ext["y0"], fine)
-    finest = d.groupBy(fx.alias("fx"), fy.alias("fy")).agg(F.count(F.lit(1)).alias("n"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("up")
-    counts = (finest.select("fx", "fy", "n", levels)
-              .groupBy("up", F.expr("shiftright(fx, up)").alias("cx"), F.expr("shiftright(fy, up)").alias("cy"))
-              .agg(F.sum("n").alias("n")).filter(F.col("n") >= k))
-    middle_x, middle_y = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
-    probes = q_blocks.select("box_id", "min_x", "min_y", "max_x", "max_y",
-                             cell(middle_x - ext["x0"], fine).alias("fx"), cell(middle_y - ext["y0"], fine).alias("fy"),
-                             levels).withColumns({"cx": F.expr("shiftright(fx, up)"), "cy": F.expr("shiftright(fy, up)")})
-    side = fine * F.pow(F.lit(2.0), F.col("up"))
-    left, low = F.col("cx") * side + ext["x0"], F.col("cy") * side + ext["y0"]
-    reach_x = F.greatest(left + side - F.col("min_x"), F.col("max_x") - left)
-    reach_y = F.greatest(low + side - F.col("min_y"), F.col("max_y") - low)
-    radii = (probes.join(counts, ["up", "cx", "cy"])
-             .withColumn("reach", F.sqrt(reach_x * reach_x + reach_y * reach_y))
-             .groupBy("box_id").agg(F.min("reach").alias("reach")))
-    # Fewer than k points in all: every block is a candidate.
-    everything = ext["size"] * 3
-    q_boxes = q_blocks.join(radii, "box_id", "left").withColumn("reach", F.coalesce("reach", everything))
+    d_tree = Tree(point_blocks(d, "x", "y", "id", SEARCH_BLOCK), F.col("n"))
+    size = int(min(SEARCH_BLOCK, max(16, q.count() / max(1, d_tree.count))))
+    q_tree = Tree(point_blocks(q, "x", "y", "id", size), F.col("n"))
 
     def closest_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, best = None, None
@@ -306,6 +291,6 @@ def _block_candidates(q: DataFrame, d: DataFrame, k: int, schema: T.StructType)
             yield best.table()
 
     # Pairs of one query block mostly meet in one task, yet a block with very many partners uses several.
-    pairs = block_pairs(q_boxes, d_blocks, F.col("reach"), spread_by=("a_id", "part"))
+    pairs = with_points(nearest_pairs(q_tree, d_tree, k), q_tree, d_tree, ("a_id", "part"))
     # Nearby blocks first, so that the bars drop early.
     return pairs.sortWithinPartitions("a_id", "gap").mapInPandas(closest_pairs, schema)

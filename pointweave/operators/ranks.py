@@ -1,44 +1,44 @@
 """Exact ranks and percentiles of large columns.
 
-Distinct values are counted first (with map-side combining), then cut into ranges at approximate quantiles. Cumulative
-counts come from one small table of range totals plus a window inside each range, so no task sorts a whole group.
+Distinct values are counted first (with map-side combining), and the counts are written once, in slices by ranges of group
+and value. Cumulative counts come from one small table of slice totals plus a window inside each slice, so no task sorts a
+whole group, and several columns are several groups of the same table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Value ranges at least and at most; in between, as many as the session has shuffle partitions.
-MIN_RANGES, MAX_RANGES = 256, 20_000
+from ..session import cut
 
 
 def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Per group and distinct value: ``rows``, rows ``below`` it and group ``total``. NULL values are left out."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias(value)).agg(
         F.count(F.lit(1)).alias("rows"))
-    return _accumulate(counts, groups, value)
+    return accumulated(counts, groups, value)
 
 
-def _accumulate(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    configured = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(MIN_RANGES, min(MAX_RANGES, configured))
-    splits = sorted(set(counts.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
-    inner = [s for s in splits if s == s and abs(s) != float("inf")] or [0.0]
-    ranged = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=value, outputCol="value_range",
-                        handleInvalid="keep").transform(counts)
-    totals = ranged.groupBy(*groups, "value_range").agg(F.sum("rows").alias("range_rows"))
+def accumulated(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """``cumulative_counts`` of a table that has one row with its ``rows`` per group and value already."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut(counts.repartitionByRange(n, *groups, value).withColumn("slice", F.spark_partition_id()))
+    totals = sliced.groupBy(*groups, "slice").agg(F.sum("rows").alias("slice_rows"))
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    ordered = by_group.orderBy("value_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*groups, "value_range",
-                           F.coalesce(F.sum("range_rows").over(ordered), F.lit(0)).alias("before"),
-                           F.sum("range_rows").over(by_group).alias("total"))
-    inside = Window.partitionBy(*groups, "value_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.withColumn("within", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
-            .join(totals, [*groups, "value_range"])
-            .select(*groups, value, "rows", (F.col("before") + F.col("within")).alias("below"), "total"))
+    earlier = by_group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each group in each slice: at most the groups and the slices together.
+    totals = totals.select(*groups, "slice", F.coalesce(F.sum("slice_rows").over(earlier), F.lit(0)).alias("before"),
+                           F.sum("slice_rows").over(by_group).alias("total"))
+    inside = Window.partitionBy("slice", *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    # Groups are compared null-safely, as a null group is a group.
+    renamed = totals.withColumnsRenamed({g: f"__{g}" for g in groups}).withColumnRenamed("slice", "__slice")
+    on = F.col("slice") == F.col("__slice")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    within = sliced.withColumn("within", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+    return within.join(renamed, on).select(*groups, value, "rows", (F.col("before") + F.col("within")).alias("below"), "total")
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:

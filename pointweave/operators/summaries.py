@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import as_double, one_row, require_columns
 from ..functions.special import correlation_p
-from .ranks import average_ranks, grouped_percentiles, percentiles
+from ..session import cut
+from .ranks import accumulated, grouped_percentiles, percentiles
 
 
 def county_year_counts(df: DataFrame, county: str = "county", year: str = "year",
@@ -161,30 +162,30 @@ def _weighted_correlation(x: Column, y: Column, w: Column) -> Column:
 def bivariate_correlation(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFrame:
     """Pearson and Spearman correlation with two-sided p-values of a target with each predictor.
 
-    Spearman works on counts of distinct value pairs and on ranks of distinct values, so ties cost nothing.
+    All predictors are worked on together, as rows of one long table: one scan for Pearson, and one for the counts of
+    distinct value pairs, which are written once. Spearman needs no more than these and the ranks of distinct values, so
+    ties cost nothing.
     """
-    results: list[DataFrame] = []
-    for predictor in [p for p in predictors if p in df.columns]:
-        valid = df.select(as_double(F.col(target)).alias("a"), as_double(F.col(predictor)).alias("b")).dropna()
-        linear = valid.agg(pearson(F.col("a"), F.col("b")).alias("pearson"), F.count(F.lit(1)).alias("n"))
-        paired = valid.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-        ranked = (paired.join(average_ranks(valid, "a").withColumnsRenamed({"average_rank": "ra"}), "a")
-                  .join(average_ranks(valid, "b").withColumnsRenamed({"average_rank": "rb"}), "b"))
-        middle = (paired.agg(F.sum("w").alias("n")).scalar() + 1) / 2
-        centred = ranked.select("w", (F.col("ra") - middle).alias("x"), (F.col("rb") - middle).alias("y"))
-        spearman = centred.agg(_weighted_correlation(F.col("x"), F.col("y"), F.col("w")).alias("spearman"))
-        results.append(linear.select(
-            F.lit(target).alias("var1"), F.lit(predictor).alias("var2"), "pearson", "n",
-            spearman.scalar().alias("spearman")))
-    if not results:
+    names = [p for p in predictors if p in df.columns]
+    if not names:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, pearson_r double, pearson_p double, "
                                                    "spearman_r double, spearman_p double, n bigint")
-    table = results[0]
-    for r in results[1:]:
-        table = table.unionByName(r)
+    pair = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), as_double(F.col(p)).alias("b")) for p in names])).alias("pair")
+    rows = df.select(as_double(F.col(target)).alias("a"), pair).select("pair.predictor", "a", "pair.b").dropna()
+    linear = rows.groupBy("predictor").agg(pearson(F.col("a"), F.col("b")).alias("pearson"), F.count(F.lit(1)).alias("n"))
+    paired = cut(rows.groupBy("predictor", "a", "b").agg(F.count(F.lit(1)).alias("w")))
+    sides = paired.unpivot(["predictor", "w"], ["a", "b"], "side", "value").groupBy("predictor", "side", "value").agg(
+        F.sum("w").alias("rows"))
+    ranks = accumulated(sides, ["predictor", "side"], "value").select(
+        "predictor", "side", "value", (F.col("below") + (F.col("rows") + 1) / 2 - (F.col("total") + 1) / 2).alias("rank"))
+    centred = paired
+    for side, name in (("a", "x"), ("b", "y")):
+        own = ranks.filter(F.col("side") == side).select("predictor", F.col("value").alias(side), F.col("rank").alias(name))
+        centred = centred.join(own, ["predictor", side])
+    spearman = centred.groupBy("predictor").agg(_weighted_correlation(F.col("x"), F.col("y"), F.col("w")).alias("spearman"))
     n = F.col("n").cast("double")
-    return table.filter(F.col("n") >= 3).select(
-        "var1", "var2", F.bround("pearson", 4).alias("pearson_r"),
+    return linear.join(spearman, "predictor").filter(F.col("n") >= 3).select(
+        F.lit(target).alias("var1"), F.col("predictor").alias("var2"), F.bround("pearson", 4).alias("pearson_r"),
         F.bround(correlation_p(F.col("pearson"), n), 4).alias("pearson_p"),
         F.bround("spearman", 4).alias("spearman_r"),
         F.bround(correlation_p(F.col("spearman"), n), 4).alias("spearman_p"), "n",

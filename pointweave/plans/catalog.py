@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
 from ..functions.columns import haversine_km
@@ -89,6 +89,30 @@ def sql(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _simpson(density: str, upper: str, steps: int = 4000) -> str:
+    """Integral of a density, an expression in ``t``, from 0 to ``upper`` by Simpson's rule."""
+    t = f"(k * {upper} / {steps}e0)"
+    weight = f"CASE WHEN k = 0 OR k = {steps} THEN 1e0 WHEN k % 2 = 1 THEN 4e0 ELSE 2e0 END"
+    return f"({upper} / {3 * steps}e0 * list_sum([{weight} * {density.replace('{t}', t)} FOR k IN range({steps + 1})]))"
+
+
+def normal_p_sql(z: str) -> str:
+    return f"greatest(0e0, 1 - 2 * {_simpson('exp(-{t} * {t} / 2) / sqrt(2 * pi())', f'least(40e0, abs({z}))')})"
+
+
+def correlation_p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation below 1 over more than two pairs, from Student's density."""
+    free = f"({n} - 2e0)"
+    t = f"least(60e0, abs({r}) * sqrt({free} / (1 - {r} * {r})))"
+    density = f"exp(lgamma(({free} + 1) / 2) - lgamma({free} / 2) - ({free} + 1) / 2 * ln(1 + {{t}} * {{t}} / {free})) / sqrt({free} * pi())"
+    return f"greatest(0e0, 1 - 2 * {_simpson(density, t)})"
+
+
+def chi_square_p_sql(x: str, dof: str) -> str:
+    density = f"CASE WHEN k = 0 THEN 0e0 ELSE exp(({dof} / 2e0 - 1) * ln({{t}}) - {{t}} / 2 - {dof} / 2e0 * ln(2e0) - lgamma({dof} / 2e0)) END"
+    return f"greatest(0e0, 1 - {_simpson(density, f'least({x}, 20e0 * {dof})')})"
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupied square cells of the processed incidents: a polygon table that grows with the data."""
     df = processed(spark, sf_dir)
@@ -286,14 +310,14 @@ def correlation(spark, sf_dir):
 _RANKS = ", ".join(f"rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0e0 AS r_{m}" for m in _MEASURES)
 
 
-@query(f"WITH r AS (SELECT *, {_RANKS} FROM lineitem) " + " UNION ALL ".join(
-    f"SELECT 'l_extendedprice' AS var1, '{m}' AS var2, round_even(corr(l_extendedprice, {m}), 4) AS pearson_r, "
-    f"round_even(corr(r_l_extendedprice, r_{m}), 4) AS spearman_r, count(*) AS n FROM r"
-    for m in _MEASURES if m != "l_extendedprice"))
+@query(f"WITH r AS (SELECT *, {_RANKS} FROM lineitem), c AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT 'l_extendedprice' AS var1, '{m}' AS var2, corr(l_extendedprice, {m}) AS pr, "
+    f"corr(r_l_extendedprice, r_{m}) AS sr, count(*) AS n FROM r" for m in _MEASURES if m != "l_extendedprice")
+    + f""") SELECT var1, var2, round_even(pr, 4) AS pearson_r, round_even({correlation_p_sql("pr", "n")}, 4) AS pearson_p,
+round_even(sr, 4) AS spearman_r, round_even({correlation_p_sql("sr", "n")}, 4) AS spearman_p, n FROM c""")
 def bivariate_correlation(spark, sf_dir):
     others = [m for m in _MEASURES if m != "l_extendedprice"]
-    table = summaries.bivariate_correlation(views.table(spark, sf_dir, "lineitem"), "l_extendedprice", others)
-    return table.drop("pearson_p", "spearman_p")
+    return summaries.bivariate_correlation(views.table(spark, sf_dir, "lineitem"), "l_extendedprice", others)
 
 
 @query(sql(CLEAN, "SELECT count(*) AS available, least(count(*), 2000) AS shown FROM clean"))
@@ -354,11 +378,22 @@ def quadrat_counts(spark, sf_dir):
     return binning.quadrats(processed(spark, sf_dir)).drop("geometry")
 
 
-@query(sql(QUADRATS, """SELECT round(sum(pow(count - m, 2) / (m + 1e-9)), 4) AS chi2_stat, round(var_pop(count) / avg(count), 6) AS vmr
-FROM quadrats, (SELECT avg(count) AS m FROM quadrats) AS t"""))
+@query(sql(QUADRATS, f"""SELECT round(x, 4) AS chi2_stat, round({chi_square_p_sql("x", "dof")}, 9) AS chi2_p, round(vmr, 6) AS vmr
+FROM (SELECT sum(pow(count - m, 2) / (m + 1e-9)) AS x, count(*) - 1 AS dof, var_pop(count) / avg(count) AS vmr
+FROM quadrats, (SELECT avg(count) AS m FROM quadrats) AS t) AS u"""))
 def quadrat_test(spark, sf_dir):
     table = binning.quadrat_statistics(binning.quadrats(processed(spark, sf_dir)))
-    return table.select(F.round("chi2_stat", 4).alias("chi2_stat"), F.round("vmr", 6).alias("vmr"))
+    return rounded(rounded(rounded(table, 4, "chi2_stat"), 9, "chi2_p"), 6, "vmr")
+
+
+@query(f"""WITH days AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS count FROM orders GROUP BY 1),
+u AS (SELECT sum(pow(count - m, 2) / (m + 1e-9)) AS x, count(*) - 1 AS dof, var_pop(count) / avg(count) AS vmr
+FROM days, (SELECT avg(count) AS m FROM days) AS t)
+SELECT round(x, 4) AS chi2_stat, round({chi_square_p_sql("x", "dof")}, 9) AS chi2_p, round(vmr, 6) AS vmr FROM u""")
+def dispersion_of_orders(spark, sf_dir):
+    """The same test on orders per day, which are spread evenly enough for a p-value between 0 and 1."""
+    days = views.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("count"))
+    return rounded(rounded(rounded(binning.quadrat_statistics(days), 4, "chi2_stat"), 9, "chi2_p"), 6, "vmr")
 
 
 # Trends and rates ------------------------------------------------------------------------------------------------
@@ -380,16 +415,20 @@ def yearly_trend(spark, sf_dir):
 @query(sql(YEARLY, """, s AS (SELECT CAST(coalesce(sum(sign(b.count - a.count)), 0) AS DOUBLE) AS s FROM yearly AS a JOIN yearly AS b ON a.year < b.year),
 v AS (SELECT (n * (n - 1) * (2 * n + 5) - t) / 18e0 AS v FROM (SELECT count(*) AS n FROM yearly) AS a,
 (SELECT sum(k * (k - 1) * (2 * k + 5)) AS t FROM (SELECT count(*) AS k FROM yearly GROUP BY count) AS g) AS b)
-SELECT s AS statistic, round(v, 6) AS variance, round(CASE WHEN s = 0 THEN 0e0 ELSE (s - sign(s)) / sqrt(v) END, 6) AS z,
-CASE WHEN s <> 0 AND abs((s - sign(s)) / sqrt(v)) > 1.959963984540054e0 THEN CASE WHEN s > 0 THEN 'increasing' ELSE 'decreasing' END
-ELSE 'no trend' END AS trend_direction FROM s, v"""))
+SELECT statistic, round(v, 6) AS variance, round(z, 6) AS z, round(p, 9) AS p_value, CASE WHEN z > 0 AND p < 0.05 THEN 'increasing'
+WHEN z < 0 AND p < 0.05 THEN 'decreasing' ELSE 'no trend' END AS trend_direction
+FROM (SELECT *, """ + normal_p_sql("z") + """ AS p FROM (SELECT s AS statistic, v, CASE WHEN s = 0 THEN 0e0 ELSE (s - sign(s)) / sqrt(v) END AS z
+FROM s, v) AS scored) AS tested"""))
 def mann_kendall(spark, sf_dir):
-    return rounded(trend.mann_kendall(_orders_by_year(spark, sf_dir)), 6, "variance", "z").drop("p_value")
+    return rounded(rounded(trend.mann_kendall(_orders_by_year(spark, sf_dir)), 6, "variance", "z"), 9, "p_value")
 
 
-@query(sql(YEARLY, """SELECT round(regr_slope(count, x), 6) AS statistic FROM (SELECT count, row_number() OVER (ORDER BY year) - 1 AS x FROM yearly) AS t"""))
+@query(sql(YEARLY, """SELECT round(slope, 6) AS statistic, round(p, 9) AS p_value, CASE WHEN slope > 0 AND p < 0.05 THEN 'increasing'
+WHEN slope < 0 AND p < 0.05 THEN 'decreasing' ELSE 'no trend' END AS trend_direction FROM (SELECT slope, """ + correlation_p_sql("r", "n") + """ AS p
+FROM (SELECT regr_slope(count, x) AS slope, corr(count, x) AS r, count(*) AS n
+FROM (SELECT count, row_number() OVER (ORDER BY year) - 1 AS x FROM yearly) AS t) AS fit) AS tested"""))
 def linear_trend(spark, sf_dir):
-    return rounded(trend.linear_trend(_orders_by_year(spark, sf_dir)).select("statistic"), 6, "statistic")
+    return rounded(rounded(trend.linear_trend(_orders_by_year(spark, sf_dir)), 6, "statistic"), 9, "p_value")
 
 
 @query(sql(CLEAN, """SELECT year, n AS count, round(CASE WHEN count(*) OVER w = 2 THEN avg(n) OVER w END, 6) AS trend
@@ -428,6 +467,73 @@ def point_in_polygon(spark, sf_dir):
     return joins.attach_county(processed(spark, sf_dir), views.counties(spark)).select("incident_id", "county", "GEOID")
 
 
+_BORDER = 20_000
+SHAPES = f"""{COUNTIES}, corners AS (SELECT *, (x0 + x1) / 2 AS xm, (y0 + y1) / 2 AS ym, x0 + (x1 - x0) / 8 AS ox, x1 - (x1 - x0) / 8 AS px,
+y0 + (y1 - y0) / 8 AS oy, y1 - (y1 - y0) / 8 AS py, x0 + (x1 - x0) * 0.375e0 AS hx, x1 - (x1 - x0) * 0.375e0 AS kx,
+y0 + (y1 - y0) * 0.375e0 AS hy, y1 - (y1 - y0) * 0.375e0 AS ky FROM counties),
+rings AS (SELECT concat('L_', county_name) AS shape, 1e0 AS sign, [x0, x1, x1, xm, xm, x0] AS xs, [y0, y0, ym, ym, y1, y1] AS ys FROM corners
+UNION ALL SELECT concat('ring_', county_name), 1e0, [ox, px, px, ox], [oy, oy, py, py] FROM corners
+UNION ALL SELECT concat('ring_', county_name), -1e0, [hx, hx, kx, kx], [hy, ky, ky, hy] FROM corners
+UNION ALL SELECT 'border', 1e0, list_concat([-106.7e0 + k * 6.6e-4 FOR k IN range({_BORDER})], [-93.5e0, -106.7e0]),
+    list_concat([36e0 - (k % 2) * 0.05e0 FOR k IN range({_BORDER})], [28e0, 28e0])),
+edges AS MATERIALIZED (SELECT shape, sign, x AS x1, y AS y1, lead(x, 1, first) OVER w AS x2, lead(y, 1, head) OVER w AS y2 FROM (
+    SELECT shape, sign, unnest(xs) AS x, unnest(ys) AS y, unnest(range(len(xs))) AS k, xs[1] AS first, ys[1] AS head FROM rings) AS v
+    WINDOW w AS (PARTITION BY shape, sign ORDER BY k)),
+within_shape AS MATERIALIZED (SELECT p.incident_id, e.shape FROM clean AS p JOIN edges AS e
+    ON greatest(e.y1, e.y2) >= p.latitude AND least(e.y1, e.y2) <= p.latitude AND greatest(e.x1, e.x2) >= p.longitude
+    GROUP BY p.incident_id, e.shape
+    HAVING sum(CASE WHEN (e.y1 > p.latitude) <> (e.y2 > p.latitude) AND ((e.y2 > e.y1) = ((e.x2 - e.x1) * (p.latitude - e.y1) > (e.y2 - e.y1) * (p.longitude - e.x1)))
+        THEN 1 ELSE 0 END) % 2 = 1)"""
+
+
+def shapes(spark: SparkSession) -> DataFrame:
+    """An L and a square ring in each county, and one area-wide polygon of 20,002 vertices with a jagged border."""
+    c = {n: F.col(n) for n in ("x0", "x1", "y0", "y1")}
+    xm, ym = (c["x0"] + c["x1"]) / 2, (c["y0"] + c["y1"]) / 2
+    width, height = c["x1"] - c["x0"], c["y1"] - c["y0"]
+
+    def closed(*corners) -> Column:
+        return F.array(*[G.vertex(x, y) for x, y in [*corners, corners[0]]])
+
+    def square(share: float) -> tuple:
+        return c["x0"] + width * share, c["y0"] + height * share, c["x1"] - width * share, c["y1"] - height * share
+
+    (ox, oy, px, py), (hx, hy, kx, ky) = square(0.125), square(0.375)
+    bent = F.array(F.array(closed((c["x0"], c["y0"]), (c["x1"], c["y0"]), (c["x1"], ym), (xm, ym), (xm, c["y1"]), (c["x0"], c["y1"]))))
+    ring = F.array(F.array(closed((ox, oy), (px, oy), (px, py), (ox, py)), closed((hx, hy), (hx, ky), (kx, ky), (kx, hy))))
+    both = F.inline(F.array(*[F.struct(F.concat(F.lit(kind), "county_name").alias("shape"), g.alias("geometry"))
+                              for kind, g in (("L_", bent), ("ring_", ring))]))
+    jagged = F.transform(F.sequence(F.lit(0), F.lit(_BORDER - 1)), lambda k: G.vertex(
+        F.lit(-106.7) + k * F.lit(6.6e-4), F.lit(36.0) - (k % 2) * F.lit(0.05)))
+    back = F.array(*[G.vertex(F.lit(x), F.lit(y)) for x, y in ((-93.5, 28.0), (-106.7, 28.0), (-106.7, 36.0))])
+    border = spark.range(1).select(F.lit("border").alias("shape"), F.array(F.array(F.concat(jagged, back))).alias("geometry"))
+    return views.counties(spark).select(both).unionByName(border)
+
+
+@query(sql(f"{CLEAN}, {SHAPES}", "SELECT p.incident_id, w.shape FROM clean AS p LEFT JOIN within_shape AS w ON w.incident_id = p.incident_id"))
+def polygon_join_shapes(spark, sf_dir):
+    joined = joins.join_polygons(processed(spark, sf_dir), shapes(spark), {"shape": "shape"})
+    return joined.select("incident_id", "shape")
+
+
+@query(sql(f"{CLEAN}, {SHAPES}", """, parts AS (SELECT e.shape, sign, (e.x1 - f.ax) * (e.y2 - f.ay) - (e.x2 - f.ax) * (e.y1 - f.ay) AS c,
+e.x1 + e.x2 - 2 * f.ax AS sx, e.y1 + e.y2 - 2 * f.ay AS sy, f.ax, f.ay
+FROM edges AS e JOIN (SELECT shape, min(x1) AS ax, min(y1) AS ay FROM edges GROUP BY 1) AS f ON f.shape = e.shape),
+ring_sums AS (SELECT shape, sign, ax, ay, sum(c) / 2 AS a, sum(sx * c) / 6 AS mx, sum(sy * c) / 6 AS my FROM parts GROUP BY ALL),
+areas AS (SELECT shape, any_value(ax) AS ax, any_value(ay) AS ay, sum(sign * sign(a) * a) AS a, sum(sign * sign(a) * mx) AS mx, sum(sign * sign(a) * my) AS my
+FROM ring_sums GROUP BY shape), hits AS (SELECT shape, count(*) AS n FROM within_shape GROUP BY 1)
+SELECT areas.shape, round(a, 6) AS area, round(ax + mx / a, 6) AS centroid_lon, round(ay + my / a, 6) AS centroid_lat, coalesce(n, 0) AS incidents,
+round(coalesce(n, 0) / a, 3) AS density FROM areas LEFT JOIN hits ON hits.shape = areas.shape"""))
+def shape_density(spark, sf_dir):
+    table = shapes(spark)
+    counts = joins.join_polygons(processed(spark, sf_dir), table, {"shape": "shape"}).dropna(subset=["shape"]).groupBy("shape").agg(
+        F.count(F.lit(1)).alias("incidents"))
+    centre = G.centroid(F.col("geometry"))
+    measured = table.select("shape", G.area(F.col("geometry")).alias("area"), centre["x"].alias("centroid_lon"), centre["y"].alias("centroid_lat"))
+    joined = measured.join(counts, "shape", "left").fillna(0, ["incidents"]).withColumn("density", F.col("incidents") / F.col("area"))
+    return rounded(rounded(joined, 6, "area", "centroid_lon", "centroid_lat"), 3, "density")
+
+
 @query(sql(LOCATED, "SELECT incident_id, county AS place_name FROM located"))
 def attach_place(spark, sf_dir):
     places = views.counties(spark).withColumnRenamed("county_name", "NAME")
@@ -636,17 +742,17 @@ m AS (SELECT t.v, n / s0 * cross_sum / zz AS i, -1e0 / (n - 1) AS e, (n * n * s1
 
 
 @query(_moran_sql({"all": "offense_count"}, 6, """SELECT round(i, 6) AS "I", round(e, 6) AS expected, round(var, 9) AS variance,
-round((i - e) / sqrt(var), 5) AS z_score, (i - e) / sqrt(var) > 1.959963984540054e0 AS is_clustered FROM m"""))
+round((i - e) / sqrt(var), 5) AS z_score, round(""" + normal_p_sql("((i - e) / sqrt(var))") + """, 9) AS p_value,
+(i - e) / sqrt(var) > 1.959963984540054e0 AS is_clustered FROM m"""))
 def global_moran(spark, sf_dir):
     m = autocorrelation.global_moran(cells(spark, sf_dir), id="cell_id")
-    return m.select(F.round("I", 6).alias("I"), F.round("expected", 6).alias("expected"), F.round("variance", 9).alias("variance"),
-                    F.round("z_score", 5).alias("z_score"), "is_clustered")
+    return rounded(rounded(rounded(m, 6, "I", "expected"), 9, "variance", "p_value"), 5, "z_score")
 
 
 @query(_moran_sql({c: c for c in ("violent", "property", "other")}, 4, """SELECT v AS crime_type, round_even(i, 4) AS "morans_I",
-(i - e) / sqrt(var) > 1.959963984540054e0 AS clustered FROM m"""))
+round_even(""" + normal_p_sql("((i - e) / sqrt(var))") + """, 4) AS p_value, (i - e) / sqrt(var) > 1.959963984540054e0 AS clustered FROM m"""))
 def moran_by_type(spark, sf_dir):
-    return autocorrelation.moran_by_type(cells(spark, sf_dir), ["violent", "property", "other"], "cell_id").drop("p_value")
+    return autocorrelation.moran_by_type(cells(spark, sf_dir), ["violent", "property", "other"], "cell_id")
 
 
 # Density and Ripley ----------------------------------------------------------------------------------------------

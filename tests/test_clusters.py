@@ -112,9 +112,32 @@ def test_components(spark):
     edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
     want = {v: root(v) for p in pairs if p[0] != p[1] for v in p}
     assert {r.id: r.label for r in components.components(edges).collect()} == want
-    tiled = edges.withColumns({"src_tile": (F.col("src") / 7).cast("int"), "dst_tile": (F.col("dst") / 7).cast("int")})
-    got = {r.id: r.label for r in components.tiled_components(tiled.filter("src <> dst")).collect()}
-    assert got == want
+    for origin in (0, -20):
+        tiled = edges.withColumns({f"{end}_t{c}": F.floor(F.col(end) / size) + origin for end in ("src", "dst") for c, size in (("x", 7), ("y", 31))})
+        got = {r.id: r.label for r in components.tiled_components(tiled.filter("src <> dst")).collect()}
+        assert got == want
+    assert components.tiled_components(tiled.limit(0)).count() == 0
+
+
+def test_one_component_of_half_of_all_vertices(spark, monkeypatch):
+    """A lattice of 96 x 96 vertices in one component, the rest in pairs: tasks get tiles, never a component."""
+    vertex = spark.range(192 * 96).select(F.col("id"), (F.col("id") % 192).alias("x"), F.floor(F.col("id") / 192).alias("y"))
+    step = vertex.select("*", F.explode(F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))).alias("o"))
+    step = step.withColumns({"ex": F.col("x") + F.col("o.dx"), "ey": F.col("y") + F.col("o.dy")}).filter("ex < 192 and ey < 96")
+    step = step.filter("ex < 96 or (x >= 96 and x % 2 = 0 and o.dx = 1)")
+    edges = step.select(F.col("id").alias("src"), (F.col("ey") * 192 + F.col("ex")).alias("dst"), *[
+        F.floor(F.col(c) / 4).alias(n) for c, n in (("x", "src_tx"), ("y", "src_ty"), ("ex", "dst_tx"), ("ey", "dst_ty"))])
+    written = []
+    original = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: written.append(original(df)) or written[-1])
+    labels = components.tiled_components(edges)
+    sizes = labels.groupBy("label").count().groupBy("count").agg(F.count("*").alias("n"))
+    assert {r["count"]: r.n for r in sizes.collect()} == {96 * 96: 1, 2: 48 * 96}
+    maps = [t for t in written if "label" in t.columns]
+    assert len(maps) == 3 and len(written) <= 2 * len(maps)
+    for table in maps:
+        tiles = [r["count"] for r in table.groupBy("tx", "ty").count().collect()]
+        assert max(tiles) <= max(64, 3 * np.median(tiles))
 
 
 def test_dense_index(spark):

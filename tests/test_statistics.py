@@ -10,14 +10,39 @@ from pointweave.operators import autocorrelation as A
 from pointweave.operators import binning, contiguity, density, ranks, ripley, summaries, trend
 
 
-def test_tail_probabilities():
-    # Table values: normal, chi-square and Student t.
-    assert special.normal_two_sided(1.959963984540054) == pytest.approx(0.05, abs=1e-12)
-    assert special.upper_gamma(1 / 2, 3.841458820694124 / 2) == pytest.approx(0.05, abs=1e-10)
-    assert special.upper_gamma(10 / 2, 18.307038053275146 / 2) == pytest.approx(0.05, abs=1e-10)
-    assert special.upper_gamma(399 / 2, 399 / 2) == pytest.approx(0.49058, abs=1e-4)
+def simpson(f, upper, n=20_000):
+    t = np.linspace(0, upper, n + 1)
+    w = np.where(np.arange(n + 1) % 2 == 1, 4.0, 2.0)
+    w[[0, -1]] = 1.0
+    return float((w * f(t)).sum() * upper / n / 3)
+
+
+def test_tail_probabilities(spark):
+    """Table values, and integrals of the densities over a wide range of degrees."""
+    scores = [1.959963984540054, 0.0, -0.3, 1.2, 5.0, 12.0, 60.0]
+    chi = [(3.841458820694124, 1), (18.307038053275146, 10), (399.0, 399), (0.0, 3), (30.0, 399), (700.0, 399), (1e6, 399), (4e4, 40_000)]
     t, df = 2.228138851964939, 10
-    assert special.student_two_sided(t / math.sqrt(df + t * t), df + 2) == pytest.approx(0.05, abs=1e-10)
+    pairs = [(t / math.sqrt(df + t * t), df + 2), (0.0, 9), (0.5, 7), (-0.5, 7), (0.003, 60_000), (0.01, 600_000), (1.0, 5), (0.9, 3), (0.4, 2)]
+    rows = [("z", float(z), 0.0) for z in scores] + [("c", x, float(k)) for x, k in chi] + [("r", r, float(n)) for r, n in pairs] + [
+        (kind, None, 3.0) for kind in "zcr"]
+    found = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, x double, n double").withColumn(
+        "p", F.when(F.col("kind") == "z", special.normal_p("x")).when(F.col("kind") == "c", special.chi_square_p("x", "n")).otherwise(
+            special.correlation_p("x", "n"))).orderBy("i").collect()
+    got = [r.p for r in found]
+    normal = [math.erfc(abs(z) / math.sqrt(2)) for z in scores]
+    assert got[:7] == pytest.approx(normal, rel=1e-11, abs=1e-300)
+    assert got[7:9] == pytest.approx([0.05, 0.05], abs=1e-10)
+    for p, (x, k) in zip(got[7:15], chi):
+        density = lambda v, k=k: np.where(v > 0, np.exp((k / 2 - 1) * np.log(np.maximum(v, 1e-300)) - v / 2 - k / 2 * math.log(2) - math.lgamma(k / 2)), 0)
+        if k > 2:
+            assert p == pytest.approx(1 - simpson(density, x) if x < 1e5 else 0, abs=1e-9)
+    assert got[15] == pytest.approx(0.05, abs=1e-10)
+    for p, (r, n) in zip(got[15:24], pairs):
+        if n > 2 and abs(r) < 1:
+            v, tt = n - 2, abs(r) * math.sqrt((n - 2) / (1 - r * r))
+            front = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+            assert p == pytest.approx(1 - 2 * simpson(lambda u: front * (1 + u * u / v) ** (-(v + 1) / 2), tt), abs=1e-9)
+    assert got[21] == 0.0 and got[23] == 1.0 and got[24:] == [None] * 3
 
 
 @pytest.fixture(scope="module")
