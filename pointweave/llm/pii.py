@@ -5,7 +5,8 @@ A value that looks like a card number, IBAN, social security number, phone numbe
 kinds that follow. Groups of digits or capitals that stand side by side are one run, in which a card or IBAN may begin
 and end at every group, so neighbours such as an order number, expiry or currency do not hide it. A valid value is mapped by a keyed Feistel permutation of its format's domain and
 written back in the same layout, with check digits computed anew. Equal values get equal pseudonyms wherever they occur
-and different values different ones, without any table, so documents stay linked and no row moves between tasks.
+and different values different ones, without any table, so documents stay linked and no row moves between tasks. Dates are
+those of the years 0001 to 9999. Phone numbers are of the layout 3-3-4 with or without a country code; others stay.
 E-mail addresses are no numbers; their pseudonym is a keyed digest.
 
 The round function is SHA-256 over the key, the format, the domain, the round and one half.
@@ -21,8 +22,10 @@ from .common import free_name
 
 ROUNDS = 10
 KINDS = ("email", "iban", "date", "ssn", "ip", "phone", "card")
-#: Dates are permuted among 270 * 270 days, so that both halves have the same range: 1900-01-01 to 2099-08-05.
-FIRST_DAY, DAY_HALF = "1900-01-01", 270
+#: Dates are permuted among all days of the years 0001 to 9999, which are 2127 * 1717.
+FIRST_DAY, DAY_HALVES = "0001-01-01", (2127, 1717)
+#: Steps after which a walk among the days past the 12th, three in five of all, has ended for certain but for 1 in 10 ** 25.
+WALK = 64
 
 #: Length of an IBAN per country.
 IBAN_LENGTHS = {
@@ -42,7 +45,7 @@ _PRINTED_CARD = r"(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4
 CARD_DIGITS = range(19, 12, -1)
 
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "date": _BOUND + r"(?<![/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-SU-Za-z]|T[A-Za-z])",
     "ssn": _BOUND + r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": _BOUND + r"(?<!\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
@@ -150,18 +153,33 @@ def _iban(value: Column, key: str) -> Column:
     return _laid_out(value, F.concat(check, _digits(new_account)))
 
 
+def _moved_day(day: Column, key: str) -> Column:
+    """Permute days, numbered from ``FIRST_DAY`` on."""
+    a, b = feistel(F.floor(day / DAY_HALVES[1]), F.pmod(day, F.lit(DAY_HALVES[1])), *[F.lit(n) for n in DAY_HALVES], key, F.lit("date"))
+    return a * DAY_HALVES[1] + b
+
+
 def _date(value: Column, key: str) -> Column:
-    """ISO, day.month.year, or month/day/year; with a slash, day/month/year where only that is a date."""
-    def moved(pattern: str) -> Column:
-        day = F.try_to_date(value, pattern)
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        a, b = feistel(F.floor(number / DAY_HALF), F.pmod(number, F.lit(DAY_HALF)), F.lit(DAY_HALF), F.lit(DAY_HALF), key,
-                       F.lit("date " + pattern))
-        new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (a * DAY_HALF + b).cast("int")), pattern)
-        return F.when(number.between(0, DAY_HALF**2 - 1), new)
+    """ISO, day.month.year, or month/day/year; with a slash, day/month/year where only that is a date.
+
+    All layouts share one permutation of days, so a day has one pseudonym however it is written. Only days written as
+    day/month/year are moved on among those past the 12th, until their pseudonym cannot be read as month/day/year either;
+    else two different dates could be written alike.
+    """
+    first = F.lit(FIRST_DAY).cast("date")
+    on = lambda day: F.date_add(first, day.cast("int"))
 
-    return F.when(value.contains("-"), moved("yyyy-MM-dd")).when(value.contains("."), moved("dd.MM.yyyy")).otherwise(
-        F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy")))
+    def moved(pattern: str, move: Callable[[Column, str], Column]) -> Column:
+        day = F.datediff(F.try_to_date(value, pattern), first).cast("bigint")
+        return F.when(day >= 0, F.date_format(on(move(day, key)), pattern))
+
+    def past_the_12th(day: Column, key: str) -> Column:
+        done = lambda d, step: (step > 1) & (F.dayofmonth(on(d)) > 12)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), day, lambda d, step: F.when(
+            done(d, step), d).otherwise(_moved_day(d, key).cast("bigint")))
+
+    return F.when(value.contains("-"), moved("yyyy-MM-dd", _moved_day)).when(value.contains("."), moved("dd.MM.yyyy", _moved_day)).otherwise(
+        F.coalesce(moved("MM/dd/yyyy", _moved_day), moved("dd/MM/yyyy", past_the_12th)))
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -332,7 +350,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
 
 
 def pii_table(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, the text with pseudonyms, ``n_values`` replaced in all and per kind."""
+    """``id``, the text with pseudonyms, ``n_values`` replaced in all and per kind.
+
+    Null texts stay null with no values, empty tables stay empty, repeated rows come out as often, null ids stay, and other
+    columns are left out.
+    """
     named = pseudonymise(docs.select(F.col(id), F.col(text)), key, text, "kinds")
     number = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("bigint")
     per_kind = [number(kind).alias(f"n_{kind}") for kind in KINDS]

@@ -69,6 +69,31 @@ def test_neighbours_do_not_hide_values(spark):
     assert rows[0].text.startswith(alone) and rows[2].text.endswith("T10:00:00Z") and rows[4].text[0] == "\ufdd1"
 
 
+def test_dates_map_one_to_one(spark):
+    """Every way of writing a day of 1900 to 2099 in numbers, and the ends of the calendar."""
+    day = spark.sql("SELECT explode(sequence(date'1900-01-01', date'2099-12-31')) AS d")
+    layouts = {"iso": "yyyy-MM-dd", "dots": "dd.MM.yyyy", "us": "MM/dd/yyyy", "eu": "dd/MM/yyyy"}
+    written = day.select("d", F.explode(F.create_map(*[x for k, p in layouts.items() for x in (F.lit(k), F.date_format("d", p))])).alias("layout", "text"))
+    written = written.filter("layout <> 'eu' or dayofmonth(d) > 12")
+    found = written.select("d", "layout", F.col("text").alias("old"), pii._date(F.col("text"), "key").alias("text")).cache()
+    assert found.filter("text is null").count() == 0 and found.filter("text = old").count() <= 3
+    slashes = found.filter("layout in ('us', 'eu')")
+    assert slashes.count() == slashes.select("text").distinct().count() == 73049 + found.filter("layout = 'eu'").count()
+    back = {"iso": "yyyy-MM-dd", "dots": "dd.MM.yyyy", "us": "MM/dd/yyyy"}
+    read = F.coalesce(*[F.when(F.col("layout") == k, F.try_to_date("text", p)) for k, p in back.items()])
+    linked = found.filter("layout <> 'eu'").groupBy("d").agg(F.count_distinct(read).alias("n"))
+    assert linked.filter("n <> 1").count() == 0
+    found.unpersist()
+    ends = ["0001-01-01", "9999-12-31", "31.12.9999", "12/31/0001", "31/12/9999", "0000-01-01"]
+    rows = replaced(spark, *ends)
+    assert [r.n_date for r in rows] == [1, 1, 1, 1, 1, 0] and all(r.text != t for r, t in zip(rows[:5], ends))
+
+
+def test_long_mail_addresses(spark):
+    row, = replaced(spark, "x " + "a.b-" * 60 + "c@example.com y")
+    assert row.n_email == 1 and "example" not in row.text
+
+
 def test_long_runs_of_numbers(spark):
     row, = replaced(spark, "7 " * 30_000 + "x")
     assert len(row.text) == 60_001
