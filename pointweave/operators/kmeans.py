@@ -1,80 +1,163 @@
-"""K-means on coordinates with several starts."""
+"""K-means on coordinates: first centres of all starts, and Lloyd's rounds of all starts and all numbers of clusters, in one
+scan each."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Fits submitted to the cluster at the same time.
-PARALLEL_FITS = 4
+from ..session import cut
+
+MAX_ROUNDS = 300
+#: A run has settled when none of its centres moves further than this, in degrees.
+TOLERANCE = 1e-4
+_CELLS = 4_000_000
+
+Run = tuple[int, int]
+"""Number of clusters, start."""
 
 
 class KMeansResult(NamedTuple):
     points: DataFrame
-    """Input rows with ``kmeans_cluster``."""
+    """Input rows with ``kmeans_cluster``; null for rows without coordinates."""
     centres: DataFrame
     """``cluster_id, lon, lat``, one row per cluster."""
     summary: DataFrame
     """One row: ``k, inertia``."""
-    model: KMeansModel
-
-
-def _vectors(df: DataFrame, lon: str, lat: str) -> DataFrame:
-    return VectorAssembler(inputCols=[lon, lat], outputCol="position", handleInvalid="skip").transform(df)
-
 
-def _best_fits(weighted: DataFrame, runs: Sequence[tuple[int, int]]) -> dict[int, KMeansModel]:
-    """Model with the lowest cost for each k among ``(k, seed)`` runs."""
 
-    def fit(run: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, seed = run
-        estimator = KMeans(k=k, seed=seed, maxIter=300, featuresCol="position", weightCol="weight",
-                           predictionCol="kmeans_cluster")
-        return k, estimator.fit(weighted)
-
-    best: dict[int, KMeansModel] = {}
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        for k, model in pool.map(fit, runs):
-            if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-                best[k] = model
-    return best
-
-
-def _weighted_positions(df: DataFrame, lon: str, lat: str) -> DataFrame:
-    """Distinct locations with their number of rows: the same optimum from fewer vectors."""
-    places = df.select(lon, lat).dropna().groupBy(lon, lat).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return _vectors(places, lon, lat).select("position", "weight")
+def _positions(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Distinct locations with their number of rows, the same optimum from fewer points, and a hash of each."""
+    places = df.select(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).dropna()
+    return cut(places.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("hash", F.xxhash64("x", "y")))
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit hashes, by the finaliser of the splitmix generator."""
+    with np.errstate(over="ignore"):
+        z = values.astype(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return (z >> np.uint64(11)).astype(float) / 2.0**53 + 2.0**-54
+
+
+def _drawn(chosen: list[np.ndarray], number: int, seed: int):
+    """For each start the location that wins the race for the next centre in this task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[float, float, float]] = {}
+        for batch in batches:
+            x, y, w = (batch[c].to_numpy() for c in ("x", "y", "w"))
+            hashes = batch["hash"].to_numpy().astype(np.uint64)
+            for start, centres in enumerate(chosen):
+                rate = w
+                if len(centres):
+                    gap = np.full(len(x), np.inf)
+                    for cx, cy in centres:
+                        np.minimum(gap, (x - cx) ** 2 + (y - cy) ** 2, out=gap)
+                    rate = w * gap
+                salt = np.uint64(((seed + start) << 20 | number) * 0x9E3779B97F4A7C15 % 2**64)
+                with np.errstate(divide="ignore"):
+                    time = -np.log(_mixed(hashes ^ salt)) / rate
+                if len(time):
+                    i = int(time.argmin())
+                    if np.isfinite(time[i]):
+                        best[start] = min(best.get(start, (np.inf, 0.0, 0.0)), (float(time[i]), float(x[i]), float(y[i])))
+        yield pd.DataFrame([(s, *v) for s, v in best.items()], columns=["start", "time", "x", "y"]).astype(
+            {"start": "int32", "time": float, "x": float, "y": float})
+
+    return run
+
+
+def _first_centres(places: DataFrame, most: int, starts: int, seed: int) -> list[np.ndarray]:
+    """For each start up to ``most`` centres, each drawn with odds of its rows times its squared distance to those before.
+
+    A draw is a race: every location has an exponential time from its hash, its rate are its odds, and the first one wins.
+    So a draw is a minimum, one scan draws for all starts, and partitioning does not matter.
+    """
+    chosen = [np.empty((0, 2)) for _ in range(starts)]
+    for number in range(most):
+        table = places.mapInPandas(_drawn(chosen, number, seed), "start int, time double, x double, y double")
+        for r in table.groupBy("start").agg(F.min(F.struct("time", "x", "y")).alias("first")).collect():
+            chosen[r.start] = np.vstack([chosen[r.start], [r["first"].x, r["first"].y]])
+    return chosen
+
+
+def _sums(centres: dict[Run, np.ndarray]):
+    """Per run and centre: weight, weighted coordinates and cost of the points closest to it; one row each a task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {key: np.zeros((len(c), 4)) for key, c in centres.items()}
+        for batch in batches:
+            x, y, w = (batch[c].to_numpy() for c in ("x", "y", "w"))
+            for key, c in centres.items():
+                step = max(1, _CELLS // max(1, len(c)))
+                for at in range(0, len(x), step):
+                    part = slice(at, at + step)
+                    gap = (x[part, None] - c[None, :, 0]) ** 2 + (y[part, None] - c[None, :, 1]) ** 2
+                    near = gap.argmin(axis=1)
+                    own = w[part]
+                    for i, v in enumerate((own, own * x[part], own * y[part], own * gap.min(axis=1))):
+                        totals[key][:, i] += np.bincount(near, v, len(c))
+        yield pd.DataFrame([(k, start, i, *map(float, row)) for (k, start), t in totals.items() for i, row in enumerate(t)],
+                           columns=["k", "start", "centre", "w", "wx", "wy", "cost"])
+
+    return run
+
+
+def _settled(places: DataFrame, runs: Sequence[Run], seed: int) -> dict[Run, tuple[float, np.ndarray]]:
+    """Inertia and centres of every run. Each round is one job over the locations, in which all open runs advance.
+
+    What reaches the driver is one row per run and centre.
+    """
+    first = _first_centres(places, max(k for k, _ in runs), 1 + max(s for _, s in runs), seed)
+    centres = {(k, s): first[s][:k] for k, s in runs}
+    open_runs, cost = dict(centres), {}
+    for _ in range(MAX_ROUNDS):
+        table = places.mapInPandas(_sums(open_runs), "k int, start int, centre int, w double, wx double, wy double, cost double")
+        rows = table.groupBy("k", "start", "centre").agg(*[F.sum(c).alias(c) for c in ("w", "wx", "wy", "cost")]).collect()
+        moved = {key: c.copy() for key, c in open_runs.items()}
+        cost.update({key: 0.0 for key in open_runs})
+        for r in rows:
+            cost[r.k, r.start] += r.cost
+            if r.w > 0:
+                moved[r.k, r.start][r.centre] = r.wx / r.w, r.wy / r.w
+        still = {key: c for key, c in moved.items() if np.hypot(*(c - open_runs[key]).T).max(initial=0) > TOLERANCE}
+        # A settled run keeps the centres that its cost was measured with.
+        centres.update(still)
+        open_runs = still
+        if not open_runs:
+            break
+    return {key: (cost[key], centres[key]) for key in centres}
+
+
+def nearest_centre(centres: np.ndarray, x: Column, y: Column) -> Column:
+    """Number of the closest centre, the lower of equally close ones."""
+    gaps = F.array(*[F.struct(((x - float(cx)) * (x - float(cx)) + (y - float(cy)) * (y - float(cy))).alias("gap"), F.lit(i).alias("i"))
+                     for i, (cx, cy) in enumerate(centres)])
+    return F.when(x.isNotNull() & y.isNotNull(), F.array_min(gaps)["i"])
 
 
 def run_kmeans(df: DataFrame, k: int = 8, seed: int = 42, starts: int = 20, lon: str = "longitude",
                lat: str = "latitude") -> KMeansResult:
-    """The best of several seeded starts by total squared distance to the centres."""
-    weighted = _weighted_positions(df, lon, lat).persist()
-    try:
-        model = _best_fits(weighted, [(k, seed + i) for i in range(starts)])[k]
-    finally:
-        weighted.unpersist()
+    """The best of several seeded starts by total squared distance to the centres.
+
+    With fewer than ``k`` locations there are as many centres as locations.
+    """
+    runs = _settled(_positions(df, lon, lat), [(k, s) for s in range(starts)], seed)
+    inertia, best = min(((cost, c) for cost, c in runs.values()), key=lambda r: r[0])
     spark = df.sparkSession
-    centres = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
-    return KMeansResult(
-        points=model.transform(_vectors(df, lon, lat)).drop("position"),
-        centres=spark.createDataFrame(centres, "cluster_id int, lon double, lat double"),
-        summary=spark.createDataFrame([(k, float(model.summary.trainingCost))], "k int, inertia double"),
-        model=model)
+    centres = [(i, float(x), float(y)) for i, (x, y) in enumerate(best)]
+    labelled = df.withColumn("kmeans_cluster", nearest_centre(best, F.col(lon), F.col(lat)) if centres else F.lit(None).cast("int"))
+    return KMeansResult(labelled, spark.createDataFrame(centres, "cluster_id int, lon double, lat double"),
+                        spark.createDataFrame([(k, float(inertia))], "k int, inertia double"))
 
 
 def elbow(df: DataFrame, k_values: Sequence[int] = tuple(range(2, 15)), seed: int = 42, starts: int = 10,
           lon: str = "longitude", lat: str = "latitude") -> DataFrame:
-    """``k, inertia`` for a range of cluster numbers."""
-    weighted = _weighted_positions(df, lon, lat).persist()
-    try:
-        best = _best_fits(weighted, [(k, seed + i) for k in k_values for i in range(starts)])
-        rows = [(k, float(m.summary.trainingCost)) for k, m in sorted(best.items())]
-    finally:
-        weighted.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double").orderBy("k")
+    """``k, inertia`` for a range of cluster numbers, the best of ``starts`` starts each."""
+    runs = _settled(_positions(df, lon, lat), [(k, s) for k in k_values for s in range(starts)], seed)
+    best = [(k, float(min(runs[k, s][0] for s in range(starts)))) for k in k_values]
+    return df.sparkSession.createDataFrame(best, "k int, inertia double").orderBy("k")

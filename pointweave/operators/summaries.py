@@ -193,8 +193,9 @@ def bivariate_correlation(df: DataFrame, target: str, predictors: Sequence[str])
 
 
 def fixed_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all when fewer) chosen by a seeded hash of the key: the same rows under any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """Exactly ``n`` rows (all when fewer), the first in the order of MD5 over seed and key: the same under any partitioning,
+    and in any engine."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def peak_scale(curve: DataFrame, at: str = "r", value: str = "L_minus_r") -> DataFrame:

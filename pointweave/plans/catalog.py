@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry as G
 from ..functions.columns import haversine_km
 from ..operators import autocorrelation, binning, clean, contiguity, dbscan, density, hulls, joins, kmeans, model
 from ..operators import ripley, summaries, trend
-from ..session import cut, ship_package
+from ..session import cut, ensure_checkpoint_dir, ship_package
+from ..sources import readers, writers
 from ..sources.synthetic import CITIES
-from ..sources.writers import features
 from . import layers, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +86,10 @@ JOIN cells AS a ON a.cell_id = a0.cell_id
 JOIN cells AS b ON b.cx = a0.cx + a0.dx AND b.cy = a0.cy + o.dy WHERE a.cell_id <> b.cell_id)"""
 
 
+def sample_order_sql(seed: int, key: str = "incident_id") -> str:
+    return f"md5(concat('{seed}|', CAST({key} AS VARCHAR))), {key}"
+
+
 def sql(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -327,9 +332,11 @@ def sample_size(spark, sf_dir):
     return df.agg(F.count(F.lit(1)).alias("available")).withColumn("shown", shown)
 
 
-@query()
+@query(sql(ENRICHED, f"""SELECT incident_id, longitude, latitude, offense_type, year, city, severity, crime_category FROM enriched
+ORDER BY {sample_order_sql(42)} LIMIT 2000"""))
 def sample_points(spark, sf_dir):
-    return summaries.fixed_sample(processed(spark, sf_dir), 2000, "incident_id")
+    return summaries.fixed_sample(processed(spark, sf_dir), 2000, "incident_id").select(
+        "incident_id", "longitude", "latitude", "offense_type", "year", "city", "severity", "crime_category")
 
 
 # Binning ---------------------------------------------------------------------------------------------------------
@@ -378,6 +385,31 @@ def quadrat_counts(spark, sf_dir):
     return binning.quadrats(processed(spark, sf_dir)).drop("geometry")
 
 
+@query(sql(CLEAN, f"""SELECT hex_col, hex_row, count, CAST(len(xs) AS INTEGER) AS corners, round(xs[1], 6) AS first_x, round(ys[1], 6) AS first_y,
+round(list_min(xs), 6) AS west, round(list_max(xs), 6) AS east, round(list_min(ys), 6) AS south, round(list_max(ys), 6) AS north,
+round(list_sum([xs[i] * ys[i + 1] - xs[i + 1] * ys[i] FOR i IN range(1, 7)]) / 2, 6) AS area
+FROM (SELECT *, [x + {_HEX / 2}e0 * cos(k % 6 * pi() / 3) FOR k IN range(7)] AS xs, [y + {_HEX / 2}e0 * sin(k % 6 * pi() / 3) FOR k IN range(7)] AS ys
+FROM (SELECT hex_col, hex_row, count, hex_col * {_HEX}e0 + CASE WHEN (hex_row % 2 + 2) % 2 = 1 THEN {_HEX / 2}e0 ELSE 0e0 END AS x, hex_row * {_HEX_ROW} AS y
+FROM (SELECT CAST(round_even(longitude / {_HEX}e0, 0) AS BIGINT) AS hex_col, CAST(round_even(latitude / {_HEX_ROW}, 0) AS BIGINT) AS hex_row,
+count(*) AS count FROM clean GROUP BY 1, 2) AS h) AS c) AS r"""))
+def hexbin_shapes(spark, sf_dir):
+    """The drawn hexagons: corners, extent and area."""
+    table = binning.hexbins(processed(spark, sf_dir), cell_size=_HEX)
+    b, ring = G.bounds(F.col("geometry")), F.col("geometry")[0][0]
+    return table.select("hex_col", "hex_row", "count", F.size(ring).alias("corners"), *[
+        F.round(c, 6).alias(n) for n, c in (("first_x", ring[0]["x"]), ("first_y", ring[0]["y"]), ("west", b["min_x"]), ("east", b["max_x"]),
+                                            ("south", b["min_y"]), ("north", b["max_y"]), ("area", G.area(F.col("geometry"))))])
+
+
+@query(sql(QUADRATS, """SELECT q.col, q.row, q.count, round(x.lo, 9) AS west, round(x.hi, 9) AS east, round(y.lo, 9) AS south, round(y.hi, 9) AS north,
+round((x.hi - x.lo) * (y.hi - y.lo), 9) AS area FROM quadrats AS q JOIN lon_edge AS x ON x.i = q.col JOIN lat_edge AS y ON y.j = q.row"""))
+def quadrat_shapes(spark, sf_dir):
+    table = binning.quadrats(processed(spark, sf_dir))
+    b = G.bounds(F.col("geometry"))
+    return table.select("col", "row", "count", *[F.round(c, 9).alias(n) for n, c in (
+        ("west", b["min_x"]), ("east", b["max_x"]), ("south", b["min_y"]), ("north", b["max_y"]), ("area", G.area(F.col("geometry"))))])
+
+
 @query(sql(QUADRATS, f"""SELECT round(x, 4) AS chi2_stat, round({chi_square_p_sql("x", "dof")}, 9) AS chi2_p, round(vmr, 6) AS vmr
 FROM (SELECT sum(pow(count - m, 2) / (m + 1e-9)) AS x, count(*) - 1 AS dof, var_pop(count) / avg(count) AS vmr
 FROM quadrats, (SELECT avg(count) AS m FROM quadrats) AS t) AS u"""))
@@ -690,10 +722,13 @@ def getis_ord_permutation(spark, sf_dir):
                                  *autocorrelation.COLD_LEVELS, "significant"), 6, "gi_z_score")
 
 
-@query(sql(f"{LAGGED}, {_G_STATS}", """SELECT cell_id, round(z, 6) AS gi_z_score, CASE WHEN z > 2.576 THEN 'Hot Spot 99%' WHEN z > 1.96
+_SPOTS = """SELECT cell_id, round(z, 6) AS gi_z_score, CASE WHEN z > 2.576 THEN 'Hot Spot 99%' WHEN z > 1.96
 THEN 'Hot Spot 95%' WHEN z > 1.645 THEN 'Hot Spot 90%' WHEN z < -1.96 THEN 'Cold Spot 95%' ELSE 'Not Significant' END
 AS spot_class FROM (SELECT c.cell_id, ((lag * degree + offense_count) / (degree + 1) - m)
-/ (sd * sqrt((n / (degree + 1e0) - 1) / (n - 1e0))) AS z FROM cells AS c JOIN lagged AS l ON l.cell_id = c.cell_id, s) AS t"""))
+/ (sd * sqrt((n / (degree + 1e0) - 1) / (n - 1e0))) AS z FROM cells AS c JOIN lagged AS l ON l.cell_id = c.cell_id, s) AS t"""
+
+
+@query(sql(f"{LAGGED}, {_G_STATS}", _SPOTS))
 def spot_classes(spark, sf_dir):
     """A z score beyond a bar implies a normal p below its level, so z alone decides in the SQL."""
     scored = autocorrelation.getis_ord(cells(spark, sf_dir), id="cell_id", p_method="normal")
@@ -862,11 +897,40 @@ def kmeans_centres(spark, sf_dir):
     return kmeans.run_kmeans(processed(spark, sf_dir), k=8, starts=20).centres
 
 
+@query(sql(CLEAN, """SELECT CAST(8 AS INTEGER) AS k, count(*) AS points, CAST(8 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS nearer_to_another,
+CAST(0 AS BIGINT) AS centres_off_their_mean, true AS inertia_is_theirs FROM clean"""))
+def kmeans_invariants(spark, sf_dir):
+    """What must hold of the result, which SQL can state: all points are with their nearest centre, all centres are means of
+    their points (as far as a settled run may move), and the inertia is that of the points."""
+    result = kmeans.run_kmeans(processed(spark, sf_dir), k=8, starts=20)
+    x, y = F.col("longitude"), F.col("latitude")
+    gaps = [(x - r.lon) * (x - r.lon) + (y - r.lat) * (y - r.lat) for r in result.centres.orderBy("cluster_id").collect()]
+    points = cut(result.points.select("kmeans_cluster", "longitude", "latitude", F.least(*gaps).alias("least"),
+                                      F.get(F.array(*gaps), F.col("kmeans_cluster")).alias("gap")))
+    means = points.groupBy(F.col("kmeans_cluster").alias("cluster_id")).agg(F.avg("longitude").alias("mx"), F.avg("latitude").alias("my"))
+    off = result.centres.join(means, "cluster_id").agg(
+        F.count_if(F.hypot(F.col("mx") - F.col("lon"), F.col("my") - F.col("lat")) > kmeans.TOLERANCE)).scalar()
+    inertia = result.summary.first().inertia
+    return points.agg(
+        F.lit(8).alias("k"), F.count(F.lit(1)).alias("points"), F.count_distinct("kmeans_cluster").alias("clusters"),
+        F.count_if(F.col("least") < F.col("gap")).alias("nearer_to_another"), F.sum("gap").alias("total")).select(
+        "k", "points", "clusters", "nearer_to_another", off.alias("centres_off_their_mean"),
+        (F.abs(F.col("total") - inertia) <= F.col("total") * 1e-9).alias("inertia_is_theirs"))
+
+
 @query()
 def kmeans_elbow(spark, sf_dir):
     return kmeans.elbow(processed(spark, sf_dir), k_values=range(2, 15), starts=10)
 
 
+@query("SELECT CAST(range AS INTEGER) AS k, true AS falls FROM range(2, 15)")
+def kmeans_elbow_falls(spark, sf_dir):
+    """The curve of 130 runs must fall with every further cluster."""
+    curve = kmeans.elbow(processed(spark, sf_dir), k_values=range(2, 15), starts=10)
+    before = F.lag("inertia").over(Window.orderBy("k"))
+    return curve.select("k", F.coalesce(F.col("inertia") < before, F.col("inertia") > 0).alias("falls"))
+
+
 # Models ----------------------------------------------------------------------------------------------------------
 
 
@@ -909,7 +973,11 @@ def layer_heat(spark, sf_dir):
     return rounded(layers.heat_layer(processed(spark, sf_dir)), 9, "latitude", "longitude")
 
 
-@query()
+_COLOURS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in layers.OFFENSE_COLOURS.items())
+
+
+@query(sql(ENRICHED, f"""SELECT incident_id, longitude, latitude, offense_type, year, city,
+CASE offense_type {_COLOURS} ELSE '{layers.DEFAULT_COLOUR}' END AS colour FROM enriched ORDER BY {sample_order_sql(42)} LIMIT {layers.MAX_MARKERS}"""))
 def layer_incidents(spark, sf_dir):
     return layers.incident_layer(processed(spark, sf_dir))
 
@@ -922,10 +990,13 @@ def layer_clusters(spark, sf_dir):
     return layer.clustered.agg(F.count("colour").alias("clustered")).withColumn("noise", noise)
 
 
-@query()
+_SPOT_COLOURS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in layers.SPOT_COLOURS.items())
+
+
+@query(sql(f"{LAGGED}, {_G_STATS}", f"SELECT *, CASE spot_class {_SPOT_COLOURS} END AS colour FROM ({_SPOTS}) AS spots"))
 def layer_hotspots(spark, sf_dir):
     scored = autocorrelation.getis_ord(cells(spark, sf_dir), id="cell_id", p_method="normal")
-    return layers.hotspot_layer(scored, "cell_id").drop("geometry")
+    return rounded(layers.hotspot_layer(scored, "cell_id").drop("geometry"), 6, "gi_z_score")
 
 
 @query(sql(ENRICHED, """SELECT layer, n FROM (SELECT 'incidents' AS layer, least(count(*), 2000) AS n FROM enriched UNION ALL
@@ -936,6 +1007,36 @@ def layer_composite(spark, sf_dir):
     return table.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CITY_ROWS = " UNION ALL ".join(f"SELECT 'cities', '{c}', {lat}e0, {lon}e0, NULL, NULL" for c, (lat, lon) in layers.MAJOR_CITIES.items())
+
+
+@query(sql(f"{DBSCAN}, {LOCATED.removeprefix(CLEAN + ', ')}, enriched AS (SELECT *, CAST(CASE offense_type {_SEVERITY} ELSE 3 END AS INTEGER) AS severity FROM clean)",
+           f"""SELECT 'heat' AS layer, concat(CAST(floor(longitude / 0.005e0) AS BIGINT), '_', CAST(floor(latitude / 0.005e0) AS BIGINT)) AS name,
+round(avg(latitude), 9) AS latitude, round(avg(longitude), 9) AS longitude, CAST(sum(severity) AS DOUBLE) AS value, NULL AS colour
+FROM enriched GROUP BY floor(longitude / 0.005e0), floor(latitude / 0.005e0)
+UNION ALL SELECT 'choropleth', c.county_name, NULL, NULL, CAST(coalesce(n, 0) AS DOUBLE), NULL FROM counties AS c
+LEFT JOIN (SELECT county, count(*) AS n FROM located GROUP BY 1) AS t ON t.county = c.county_name
+UNION ALL SELECT 'clusters', CAST(cluster_id AS VARCHAR), round(max(latitude), 9), round(max(longitude), 9), CAST(count(*) AS DOUBLE), NULL
+FROM labelled WHERE cluster_id >= 0 GROUP BY cluster_id
+UNION ALL SELECT * FROM (SELECT 'incidents', CAST(incident_id AS VARCHAR), round(latitude, 9), round(longitude, 9), NULL,
+CASE offense_type {_COLOURS} ELSE '{layers.DEFAULT_COLOUR}' END FROM enriched ORDER BY {sample_order_sql(1)} LIMIT {layers.MAX_COMPOSITE_MARKERS}) AS s
+UNION ALL {_CITY_ROWS}"""))
+def layer_composite_rows(spark, sf_dir):
+    """All rows of the composite map, hulls included (by their northern and eastern ends)."""
+    incidents = processed(spark, sf_dir)
+    drawn = hulls.cluster_hulls(_labelled(spark, sf_dir), _EPS)
+    table = layers.composite_layers(incidents, _county_units(spark, sf_dir), drawn)
+    b = G.bounds(F.col("geometry"))
+    is_hull = F.col("layer") == "clusters"
+    text = lambda c: F.col(c).cast("string")
+    return table.select(
+        "layer", F.coalesce(F.when(F.col("layer") == "heat", F.concat_ws("_", "cx", "cy")), "county_name", text("cluster_id"),
+                            text("incident_id"), "city").alias("name"),
+        F.round(F.coalesce("latitude", F.when(is_hull, b["max_y"])), 9).alias("latitude"),
+        F.round(F.coalesce("longitude", F.when(is_hull, b["max_x"])), 9).alias("longitude"),
+        F.coalesce("weight", F.col("offense_count").cast("double"), F.col("size").cast("double")).alias("value"), "colour")
+
+
 @query()
 def choropleth_features(spark, sf_dir):
     return layers.choropleth_features(cells(spark, sf_dir), "offense_count", "cell_id")
@@ -946,3 +1047,55 @@ SELECT county, count(*) AS total, 'burglary' AS top_crime FROM s WHERE county IS
 def dashboard_counties(spark, sf_dir):
     located = joins.attach_county(processed(spark, sf_dir), views.counties(spark))
     return layers.dashboard(located, (2018, 2022), "burglary").top_counties
+
+
+# Sources: the given tables written in each format below the shared folder and read back ---------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pointweave-sources/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT concat('county ', CAST(o_custkey % 50 AS VARCHAR)) AS county, CAST(year(o_orderdate) AS DOUBLE) AS year, o_orderpriority AS offense_type,
+CASE WHEN count(*) % 7 = 0 THEN 0e0 ELSE CAST(count(*) AS DOUBLE) END AS offense_count FROM orders GROUP BY o_custkey % 50, year(o_orderdate), o_orderpriority""")
+def source_county_counts(spark, sf_dir):
+    """Counts as CSV under other column names, with counts that are no numbers."""
+    orders = views.table(spark, sf_dir, "orders")
+    counts = orders.groupBy(F.concat(F.lit("county "), (F.col("o_custkey") % 50).cast("string")).alias("CNTY_NM"),
+                            F.year("o_orderdate").alias("Report_Year"), F.col("o_orderpriority").alias("crime_type")).agg(F.count(F.lit(1)).alias("n"))
+    path = _folder(spark, "counts")
+    counts.withColumn("incident_count", F.when(F.col("n") % 7 == 0, "n/a").otherwise(F.col("n").cast("string"))).drop("n").write.csv(path, header=True)
+    return readers.read_county_counts(spark, path).select("county", "year", "offense_type", "offense_count")
+
+
+@query(sql(INCIDENTS, """SELECT CAST(incident_id AS VARCHAR) AS incident_id, round(longitude, 9) AS lng, round(latitude, 9) AS y,
+trim(offense_type) AS offense FROM incidents WHERE longitude IS NOT NULL AND incident_id % 13 <> 0"""))
+def source_incidents(spark, sf_dir):
+    """Located incidents as CSV under other coordinate names, some of them no numbers, and found again by alias."""
+    path = _folder(spark, "incidents")
+    latitude = F.when(F.col("incident_id") % 13 == 0, "unknown").otherwise(F.col("latitude").cast("string"))
+    views.incidents(spark, sf_dir).select("incident_id", F.col("longitude").alias("lng"), latitude.alias("y"),
+                                          F.trim("offense_type").alias("offense")).write.csv(path, header=True)
+    return rounded(readers.read_incidents(spark, path), 9, "lng", "y")
+
+
+@query(sql(CLEAN, "SELECT * FROM clean WHERE year BETWEEN 2019 AND 2021 AND longitude BETWEEN -98e0 AND -95.3e0 AND latitude BETWEEN 29.5e0 AND 32e0"))
+def source_processed(spark, sf_dir):
+    """The processed table written by year and place; a read of a box in some years skips the other files and row groups."""
+    folder = _folder(spark, "processed")
+    writers.write_processed(clean.clean_incidents(views.incidents(spark, sf_dir)), folder, partition_by=["year"], space=("longitude", "latitude"))
+    box = "year BETWEEN 2019 AND 2021 AND longitude BETWEEN -98 AND -95.3e0 AND latitude BETWEEN 29.5e0 AND 32"
+    return readers.read_processed(spark, folder).filter(box).withColumn("year", F.col("year").cast("bigint"))
+
+
+@query(sql(CELLS, f"""SELECT cell_id, CAST(offense_count AS VARCHAR) AS offense_count, round(cx * {CELL}e0, 9) AS west, round((cx + 1) * {CELL}e0, 9) AS east,
+round(cy * {CELL}e0, 9) AS south, round((cy + 1) * {CELL}e0, 9) AS north,
+round(((cx + 1) * {CELL}e0 - cx * {CELL}e0) * ((cy + 1) * {CELL}e0 - cy * {CELL}e0), 9) AS area FROM cells"""))
+def source_polygons(spark, sf_dir):
+    """Polygons as GeoJSON, one feature a line, so that large files split."""
+    path = _folder(spark, "polygons")
+    writers.write_features(cells(spark, sf_dir), path, ["cell_id", "offense_count"])
+    table = readers.read_polygons(spark, path, ("cell_id", "offense_count"), "geojsonl")
+    b = G.bounds(F.col("geometry"))
+    return table.select("cell_id", "offense_count", *[F.round(c, 9).alias(n) for n, c in (
+        ("west", b["min_x"]), ("east", b["max_x"]), ("south", b["min_y"]), ("north", b["max_y"]), ("area", G.area(F.col("geometry"))))])

@@ -100,18 +100,42 @@ def _coordinates_to_geometry(kind, text):
         kind == "MultiPolygon", F.transform(as_multi, lambda p: F.transform(p, ring))).cast(GEOMETRY)
 
 
+#: Every feature of a collection has this value, and strings can only hold it escaped.
+_MARK = '"Feature"'
+
+
+def _features_of_collections(spark: SparkSession, path: str) -> DataFrame:
+    """Features of GeoJSON collections, cut at feature borders by Spark's text reader, so that one file is many tasks.
+
+    A file is read as records between the texts ``"Feature"``: what comes before the first is the head of the collection,
+    and each later record is the rest of a feature, which ends where its braces do. That needs ``type`` to be the first
+    member of a feature, as it is in all common writers; other files fail with the advice to read them whole.
+    """
+    records = spark.read.option("lineSep", _MARK).text(path).select(F.ltrim(F.regexp_replace("value", r"^[\s\uFEFF]+", "")).alias("rest"))
+    advice = F.raise_error(F.lit("a feature does not begin with its type; read it with file_format='geojson-whole'"))
+    is_rest = F.when(F.col("rest").startswith("}"), advice.cast("boolean")).otherwise(F.col("rest").startswith(","))
+    schema = f"{_FEATURE}, broken string"
+    options = {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
+    parsed = records.filter(is_rest).select(F.from_json(F.concat(F.lit('{"type":' + _MARK), "rest"), schema, options).alias("feature"))
+    whole = F.when(F.col("feature.broken").isNotNull(), advice.cast("string")).otherwise(F.col("feature.type"))
+    return parsed.select(whole.alias("type"), "feature.properties", "feature.geometry")
+
+
 def read_polygons(spark: SparkSession, path: str, properties: tuple[str, ...] = ("STATEFP", "NAME", "GEOID"),
                   file_format: str = "geojson") -> DataFrame:
     """Polygons with the named properties and a ``geometry`` column.
 
-    ``geojson`` reads feature collections (one file, one task); ``geojsonl`` reads one feature per line and splits
-    large files; ``parquet`` reads tables that already hold the nested-array geometry.
+    ``geojson`` reads feature collections and ``geojsonl`` one feature per line, and both split large files;
+    ``geojson-whole`` reads collections of any form, one file in one task; ``parquet`` reads tables that already hold the
+    nested-array geometry.
     """
     if file_format == "parquet":
         return spark.read.parquet(path)
     if file_format == "geojsonl":
         features = spark.read.schema(_FEATURE).json(path)
     elif file_format == "geojson":
+        features = _features_of_collections(spark, path)
+    elif file_format == "geojson-whole":
         features = (spark.read.schema(f"features array<struct<{_FEATURE}>>").json(path, multiLine=True)
                     .select(F.explode("features").alias("feature")).select("feature.*"))
     else:

@@ -7,12 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import point_geojson, to_geojson
+from ..operators.blocks import with_curve_position
 
 
-def write_processed(df: DataFrame, folder: str, name: str = "incidents", partition_by: Sequence[str] = ()) -> str:
-    """Overwrite one Parquet table; ``partition_by`` lets later reads prune, e.g. by year."""
+def write_processed(df: DataFrame, folder: str, name: str = "incidents", partition_by: Sequence[str] = (),
+                    space: tuple[str, str] | None = None, files: int | None = None, **options: object) -> str:
+    """Overwrite one Parquet table; ``partition_by`` lets later reads prune, e.g. by year.
+
+    ``space`` names the coordinates whose Z-order the rows are written in, within each partition: a row group then covers a
+    small area, and a filter by a box skips all groups whose bounds lie outside of it. ``files`` is the number of ranges
+    the table is cut into, as many as the session has shuffle partitions if not given.
+    """
     path = f"{folder.rstrip('/')}/{name}.parquet"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    if space is not None:
+        position = "__curve"
+        order = [*partition_by, position]
+        count = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = with_curve_position(df, *space, position).repartitionByRange(count, *order).sortWithinPartitions(*order).drop(position)
+    df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
     return path
 
 

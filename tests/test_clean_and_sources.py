@@ -162,3 +162,57 @@ def test_bare_records_keep_fields_named_like_the_envelopes(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"kind": "y", "n": 2, "city": "Oslo"}]')
     table = readers.read_crime_json(spark, str(tmp_path))
     assert sorted((r.kind, r.city) for r in table.collect()) == [("x", None), ("y", "Oslo")] and "status" not in table.columns
+
+
+def test_box_filters_skip_row_groups(spark, tmp_path):
+    """A table written in Z-order: a small box touches few row groups of its years, and finds all of its rows."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(200_000).select(
+        F.col("id").alias("incident_id"), (F.pmod(F.xxhash64("id"), F.lit(100_003)) / 10_000).alias("longitude"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100_003)) / 10_000).alias("latitude"), (2020 + F.col("id") % 2).alias("year"))
+    path = writers.write_processed(df, str(tmp_path), partition_by=["year"], space=("longitude", "latitude"), files=16,
+                                   **{"parquet.block.size": 8192, "parquet.page.size": 2048})
+    box = {"longitude": (3.0, 3.4), "latitude": (6.0, 6.3)}
+    groups = []
+    for file in tmp_path.rglob("*.parquet"):
+        if file.is_file():
+            meta = pq.ParquetFile(file).metadata
+            at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+            for g in range(meta.num_row_groups):
+                stats = {c: meta.row_group(g).column(at[c]).statistics for c in box}
+                groups.append(all(stats[c].min <= high and stats[c].max >= low for c, (low, high) in box.items()))
+    assert len(groups) >= 100 and sum(groups) < 0.05 * len(groups)
+    inside = " AND ".join(f"{c} BETWEEN {low} AND {high}" for c, (low, high) in box.items())
+    back = readers.read_processed(spark, str(tmp_path))
+    assert path.endswith("incidents.parquet") and back.count() == 200_000
+    assert {r.incident_id for r in back.filter(inside).collect()} == {r.incident_id for r in df.filter(inside).collect()}
+
+
+def test_one_collection_is_many_tasks(spark, tmp_path):
+    import json
+
+    features = [{"type": "Feature", "properties": {"NAME": f'n "Feature" \u00e9 {i}', "GEOID": str(i)},
+                 "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i + 1, 1.5], [i, 0]]]}} for i in range(3000)]
+    features[7]["geometry"] = None
+    path = tmp_path / "big.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "name": "x", "features": features, "bbox": [0, 0, 1, 1]}, indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        table = readers.read_polygons(spark, str(path), ("NAME", "GEOID"))
+        assert table.rdd.getNumPartitions() > 4
+        whole = readers.read_polygons(spark, str(path), ("NAME", "GEOID"), "geojson-whole")
+        assert sorted(map(str, table.collect())) == sorted(map(str, whole.collect())) and table.count() == 3000
+        lines = tmp_path / "lines"
+        writers.write_features(table.filter("geometry is not null"), str(lines), ["NAME", "GEOID"])
+        again = readers.read_polygons(spark, str(lines), ("NAME", "GEOID"), "geojsonl")
+        assert sorted(map(str, again.collect())) == sorted(map(str, table.filter("geometry is not null").collect()))
+        odd = tmp_path / "odd.geojson"
+        odd.write_text(json.dumps({"features": [{"geometry": None, "properties": {}, "type": "Feature"}] * 2}))
+        with pytest.raises(Exception, match="geojson-whole"):
+            readers.read_polygons(spark, str(odd)).collect()
+        assert readers.read_polygons(spark, str(odd), file_format="geojson-whole").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

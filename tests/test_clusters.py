@@ -156,6 +156,27 @@ def test_kmeans(spark):
     assert curve == sorted(curve, reverse=True)
 
 
+def test_kmeans_rounds_are_shared(spark, cloud, monkeypatch):
+    """All runs advance in one job a round, whatever the partitioning, and end where Lloyd's rounds end."""
+    df = as_table(spark, cloud, x="longitude", y="latitude")
+    scans = []
+    original = kmeans._sums
+    monkeypatch.setattr(kmeans, "_sums", lambda centres: scans.append(len(centres)) or original(centres))
+    runs = kmeans._settled(kmeans._positions(df, "longitude", "latitude"), [(k, s) for k in (2, 5) for s in range(3)], 1)
+    assert scans[0] == 6 and scans == sorted(scans, reverse=True) and len(scans) < 60
+    for (k, s), (cost, centres) in runs.items():
+        gap = ((cloud[:, None] - centres[None]) ** 2).sum(2)
+        assert len(centres) == k and cost == pytest.approx(gap.min(1).sum())
+        means = np.array([cloud[gap.argmin(1) == i].mean(0) for i in range(k)])
+        assert np.abs(means - centres).max() <= kmeans.TOLERANCE
+    again = kmeans._settled(kmeans._positions(df.repartition(7), "longitude", "latitude"), [(5, s) for s in range(3)], 1)
+    assert [again[5, s][0] for s in range(3)] == pytest.approx([runs[5, s][0] for s in range(3)])
+    few = as_table(spark, [(0, 0), (1, 1), (1, 1)], x="longitude", y="latitude")
+    assert kmeans.run_kmeans(few, k=5, starts=2).summary.first().inertia == 0
+    none = kmeans.run_kmeans(few.limit(0), k=2, starts=2)
+    assert none.centres.count() == 0 and none.points.count() == 0
+
+
 def test_hull_of_a_line_is_a_circle(spark):
     rows = [(1, float(i), float(i)) for i in range(4)] + [(2, 0.0, 0.0), (2, 1.0, 0.0), (2, 0.0, 1.0)]
     drawn = {r.cluster_id: r.geometry for r in hulls.cluster_hulls(
