@@ -94,10 +94,11 @@ def tiled_components(edges: DataFrame) -> DataFrame:
     """
     contract, schema = _contracted(edges.schema["src"].dataType)
     tiles = [f"{end}_{c}" for end in ("src", "dst") for c in ("tx", "ty")]
-    first = edges.agg(*[F.least(F.min(f"src_{c}"), F.min(f"dst_{c}")).alias(c) for c in ("tx", "ty")]).first()
+    state = cut(edges.select("src", "dst", *tiles))
+    first = state.agg(*[F.least(F.min(f"src_{c}"), F.min(f"dst_{c}")).alias(c) for c in ("tx", "ty")]).first()
     if first["tx"] is None:
-        return edges.select(F.col("src").alias("id"), F.col("src").alias("label"))
-    state = cut(edges.select("src", "dst", *[(F.col(t) - first[t[-2:]]).cast("bigint").alias(t) for t in tiles]))
+        return state.select(F.col("src").alias("id"), F.col("src").alias("label"))
+    state = state.select("src", "dst", *[(F.col(t) - first[t[-2:]]).cast("bigint").alias(t) for t in tiles])
     within = (F.col("src_tx") == F.col("dst_tx")) & (F.col("src_ty") == F.col("dst_ty"))
     maps: list[DataFrame] = []
     while True:

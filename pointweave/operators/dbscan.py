@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import any_of, squared_distance
 from ..session import cut
-from .cells import HOT_SHARE, cell, hot_keys, lookup_join, neighbour_offsets, split_join
+from .cells import BROADCAST_KEYS, HOT_SHARE, cell, hot_keys, lookup_join, neighbour_offsets, split_join
 from .components import tiled_components
 from .indexing import dense_index
 
@@ -75,9 +75,11 @@ def dbscan(df: DataFrame, eps: float, min_pts: int, id: str = "incident_id", x:
         F.col("src_first").alias("src"), F.col("dst_first").alias("dst"), *tile))
     labelled = cut(corner.select(*at, F.col("first").alias("id")).join(roots, "id", "left").select(
         *at, F.coalesce("label", "id").alias("root")))
-    numbers = dense_index(labelled.select("root").distinct(), "root", "cluster_id")
-    # The root of a large cluster is a hot key here.
-    cell_clusters = cut(lookup_join(labelled, numbers, ["root"], hot_keys(labelled, ["root"])).select(*at, "cluster_id"))
+    numbers = cut(dense_index(labelled.select("root").distinct(), "root", "cluster_id"))
+    # The root of a large cluster is a hot key here. A list of few clusters goes to all tasks.
+    numbered = (labelled.join(F.broadcast(numbers), "root") if numbers.count() <= BROADCAST_KEYS
+                else lookup_join(labelled, numbers, ["root"], hot_keys(labelled, ["root"])))
+    cell_clusters = cut(numbered.select(*at, "cluster_id"))
 
     core_labels = lookup_join(core.select("id", *at), cell_clusters, at, hot).select("id", "cluster_id", F.lit(True).alias("is_core"))
     touched = split_join(_around(rest, side, eps), core, at, "id", hot).filter(_within(eps)).select("q_id", *at).distinct()
