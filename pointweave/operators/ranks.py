@@ -21,8 +21,9 @@ def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataF
     return accumulated(counts, groups, value)
 
 
-def accumulated(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """``cumulative_counts`` of a table that has one row with its ``rows`` per group and value already."""
+def accumulated(counts: DataFrame, groups: Sequence[str], value: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``cumulative_counts`` of a table that has one row with its ``rows`` per group and value already; ``keep`` are further
+    columns of it."""
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = cut(counts.repartitionByRange(n, *groups, value).withColumn("slice", F.spark_partition_id()))
     totals = sliced.groupBy(*groups, "slice").agg(F.sum("rows").alias("slice_rows"))
@@ -38,7 +39,7 @@ def accumulated(counts: DataFrame, groups: Sequence[str], value: str) -> DataFra
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
     within = sliced.withColumn("within", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
-    return within.join(renamed, on).select(*groups, value, "rows", (F.col("before") + F.col("within")).alias("below"), "total")
+    return within.join(renamed, on).select(*groups, value, "rows", (F.col("before") + F.col("within")).alias("below"), "total", *keep)
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:

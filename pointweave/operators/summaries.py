@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.columns import as_double, one_row, require_columns
 from ..functions.special import correlation_p
 from ..session import cut
-from .ranks import accumulated, grouped_percentiles, percentiles
+from .ranks import accumulated, cumulative_counts, grouped_percentiles, percentiles
 
 
 def county_year_counts(df: DataFrame, county: str = "county", year: str = "year",
@@ -155,36 +155,45 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return row.select(F.inline(F.array(*entries)))
 
 
-def _weighted_correlation(x: Column, y: Column, w: Column) -> Column:
-    return F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
+def _present(name: str) -> Column:
+    """Numbers, NULL for what is none."""
+    return F.nullif(as_double(F.col(name)), F.lit(float("nan")))
 
 
 def bivariate_correlation(df: DataFrame, target: str, predictors: Sequence[str]) -> DataFrame:
     """Pearson and Spearman correlation with two-sided p-values of a target with each predictor.
 
-    All predictors are worked on together, as rows of one long table: one scan for Pearson, and one for the counts of
-    distinct value pairs, which are written once. Spearman needs no more than these and the ranks of distinct values, so
-    ties cost nothing.
+    All predictors are worked on together, in one wide table. Ranks of their distinct values are looked up for each row, and
+    then only sums for each distinct value of the target are kept, whose ranks close the sums. So the rows are shuffled once
+    by the target, and once more for each predictor that has too many distinct values to broadcast.
     """
     names = [p for p in predictors if p in df.columns]
     if not names:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, pearson_r double, pearson_p double, "
                                                    "spearman_r double, spearman_p double, n bigint")
-    pair = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), as_double(F.col(p)).alias("b")) for p in names])).alias("pair")
-    rows = df.select(as_double(F.col(target)).alias("a"), pair).select("pair.predictor", "a", "pair.b").dropna()
-    linear = rows.groupBy("predictor").agg(pearson(F.col("a"), F.col("b")).alias("pearson"), F.count(F.lit(1)).alias("n"))
-    paired = cut(rows.groupBy("predictor", "a", "b").agg(F.count(F.lit(1)).alias("w")))
-    sides = paired.unpivot(["predictor", "w"], ["a", "b"], "side", "value").groupBy("predictor", "side", "value").agg(
-        F.sum("w").alias("rows"))
-    ranks = accumulated(sides, ["predictor", "side"], "value").select(
-        "predictor", "side", "value", (F.col("below") + (F.col("rows") + 1) / 2 - (F.col("total") + 1) / 2).alias("rank"))
-    centred = paired
-    for side, name in (("a", "x"), ("b", "y")):
-        own = ranks.filter(F.col("side") == side).select("predictor", F.col("value").alias(side), F.col("rank").alias(name))
-        centred = centred.join(own, ["predictor", side])
-    spearman = centred.groupBy("predictor").agg(_weighted_correlation(F.col("x"), F.col("y"), F.col("w")).alias("spearman"))
+    at = range(len(names))
+    # A row without target, or without any predictor, is in no sum.
+    wide = df.select(_present(target).alias("a"), *[_present(p).alias(f"b{i}") for i, p in enumerate(names)]).dropna(subset=["a"])
+    linear = wide.agg(*[pearson(F.col("a"), F.col(f"b{i}")).alias(f"p{i}") for i in at], *[F.count(f"b{i}").alias(f"n{i}") for i in at])
+    linear = linear.select(F.inline(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"p{i}").alias("pearson"), F.col(f"n{i}").alias("n")) for i in at])))
+    centred = F.col("below") + (F.col("rows") + 1) / 2 - (F.col("total") + 1) / 2
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"b{i}").alias("value")) for i in at])).alias("e")
+    of_b = cut(cumulative_counts(wide.select(entries).select("e.*"), ["at"], "value").select("at", "value", "rows", centred.alias("rank")))
+    ranked = wide
+    for i in at:
+        own = of_b.filter(F.col("at") == i).select(F.col("value").alias(f"b{i}"), F.col("rank").alias(f"y{i}"))
+        ranked = ranked.join(own, f"b{i}", "left")
+    sums = cut(ranked.groupBy("a").agg(*[F.sum(f"y{i}").alias(f"y{i}") for i in at], *[F.count(f"y{i}").alias(f"n{i}") for i in at]))
+    of_a = accumulated(sums.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col("a").alias("value"), F.col(f"n{i}").alias("rows"),
+                                                                F.col(f"y{i}").alias("y")) for i in at])).alias("e")).select("e.*").filter("rows > 0"),
+                       ["at"], "value", ["y"])
+    x = F.col("x")
+    across = of_a.withColumn("x", centred).groupBy("at").agg(F.sum(x * F.col("y")).alias("xy"), F.sum(F.col("rows") * x * x).alias("xx"))
+    along = of_b.groupBy("at").agg(F.sum(F.col("rows") * F.col("rank") * F.col("rank")).alias("yy"))
+    spearman = across.join(along, "at").select("at", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("spearman"))
+    predictor = F.element_at(F.array(*[F.lit(p) for p in names]), F.col("at") + 1)
     n = F.col("n").cast("double")
-    return linear.join(spearman, "predictor").filter(F.col("n") >= 3).select(
+    return linear.join(spearman, "at").withColumn("predictor", predictor).filter(F.col("n") >= 3).select(
         F.lit(target).alias("var1"), F.col("predictor").alias("var2"), F.bround("pearson", 4).alias("pearson_r"),
         F.bround(correlation_p(F.col("pearson"), n), 4).alias("pearson_p"),
         F.bround("spearman", 4).alias("spearman_r"),

@@ -274,3 +274,13 @@ def test_hexbins(spark, cloud):
     nearest = [min(centres, key=lambda k: (x - centres[k][0]) ** 2 + (y - centres[k][1]) ** 2) for x, y in cloud]
     got = {(r.hex_col, r.hex_row): r["count"] for r in binning.hexbins(df, cell_size=w, mode="nearest").collect()}
     assert got == {k: nearest.count(k) for k in set(nearest)}
+
+
+def test_correlation_keeps_no_row_per_predictor(spark, monkeypatch):
+    """What is written grows with the distinct values of the target, not with rows times predictors."""
+    stored = []
+    monkeypatch.setattr(summaries, "cut", lambda df, own=summaries.cut: stored.append(own(df)) or stored[-1])
+    df = spark.range(300).selectExpr("double(id) t", "id % 7 a", "if(id % 5 = 0, null, id % 11) b", "if(id % 3 = 0, double('NaN'), id * id) c")
+    out = {r.var2: r for r in summaries.bivariate_correlation(df, "t", ["a", "b", "c"]).collect()}
+    assert {k: r.n for k, r in out.items()} == {"a": 300, "b": 240, "c": 200} and out["c"].spearman_r == 1.0
+    assert 0 < max(t.count() for t in stored) <= 300
