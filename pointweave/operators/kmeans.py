@@ -11,11 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
+from .blocks import with_curve_position
 
 MAX_ROUNDS = 300
 #: A run has settled when none of its centres moves further than this, in degrees.
 TOLERANCE = 1e-4
 _CELLS = 4_000_000
+#: Neighbouring locations that are assigned together where one centre is closest to their whole box, and how many locations a
+#: task looks at together.
+_RUN, _TOGETHER = 256, 200_000
 
 Run = tuple[int, int]
 """Number of clusters, start."""
@@ -31,9 +35,14 @@ class KMeansResult(NamedTuple):
 
 
 def _positions(df: DataFrame, lon: str, lat: str) -> DataFrame:
-    """Distinct locations with their number of rows, the same optimum from fewer points, and a hash of each."""
+    """Distinct locations with their number of rows, the same optimum from fewer points, and a hash of each.
+
+    They lie along a Z-order curve, so that neighbours in the table are neighbours on the map.
+    """
     places = df.select(F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).dropna()
-    return cut(places.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("hash", F.xxhash64("x", "y")))
+    counted = places.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    along = with_curve_position(cut(counted), "x", "y").repartitionByRange("z").sortWithinPartitions("z")
+    return cut(along.select("x", "y", "w", F.xxhash64("x", "y").alias("hash")))
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -86,16 +95,50 @@ def _first_centres(places: DataFrame, most: int, starts: int, seed: int) -> list
     return chosen
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
+    """Coordinates and weights of many batches together."""
+    held, rows = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append([batch[c].to_numpy() for c in ("x", "y", "w")])
+            rows += len(batch)
+        if rows >= _TOGETHER:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, rows = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _sums(centres: dict[Run, np.ndarray]):
-    """Per run and centre: weight, weighted coordinates and cost of the points closest to it; one row each a task."""
+    """Per run and centre: weight, weighted coordinates and cost of the points closest to it; one row each a task.
+
+    Neighbouring locations whose whole box is closest to one centre are added by their totals; only the others are
+    compared one by one.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = {key: np.zeros((len(c), 4)) for key, c in centres.items()}
-        for batch in batches:
-            x, y, w = (batch[c].to_numpy() for c in ("x", "y", "w"))
+        for x, y, w in _gathered(batches):
+            starts = np.arange(0, len(x), _RUN)
+            sizes = np.diff(np.append(starts, len(x)))
+            weight = np.add.reduceat(w, starts)
+            mx, my = (np.add.reduceat(w * v, starts) / weight for v in (x, y))
+            spread = np.add.reduceat(w * ((x - np.repeat(mx, sizes)) ** 2 + (y - np.repeat(my, sizes)) ** 2), starts)
+            sides = [(np.minimum.reduceat(v, starts)[:, None], np.maximum.reduceat(v, starts)[:, None]) for v in (x, y)]
             for key, c in centres.items():
+                low, high = np.zeros((len(starts), len(c))), np.zeros((len(starts), len(c)))
+                for i, (least, most) in enumerate(sides):
+                    low += np.maximum(np.maximum(least - c[None, :, i], c[None, :, i] - most), 0.0) ** 2
+                    high += np.maximum(c[None, :, i] - least, most - c[None, :, i]) ** 2
+                # With a hair to spare, so that ties are left to the points.
+                alone = (low <= high.min(axis=1, keepdims=True) * (1 + 1e-9)).sum(axis=1) == 1
+                near, own = high[alone].argmin(axis=1), weight[alone]
+                cost = spread[alone] + own * ((mx[alone] - c[near, 0]) ** 2 + (my[alone] - c[near, 1]) ** 2)
+                for i, v in enumerate((own, own * mx[alone], own * my[alone], cost)):
+                    totals[key][:, i] += np.bincount(near, v, len(c))
+                left = np.flatnonzero(np.repeat(~alone, sizes))
                 step = max(1, _CELLS // max(1, len(c)))
-                for at in range(0, len(x), step):
-                    part = slice(at, at + step)
+                for at in range(0, len(left), step):
+                    part = left[at:at + step]
                     gap = (x[part, None] - c[None, :, 0]) ** 2 + (y[part, None] - c[None, :, 1]) ** 2
                     near = gap.argmin(axis=1)
                     own = w[part]

@@ -182,3 +182,19 @@ def test_hull_of_a_line_is_a_circle(spark):
     drawn = {r.cluster_id: r.geometry for r in hulls.cluster_hulls(
         spark.createDataFrame(rows, "cluster_id bigint, x double, y double"), 0.1, "x", "y").collect()}
     assert len(drawn[1][0][0]) > 4 and len(drawn[2][0][0]) == 4
+
+
+def test_kmeans_adds_neighbours_together(spark, monkeypatch):
+    """Locations lie along a curve, and runs of them that one centre is closest to are added as one."""
+    monkeypatch.setattr(kmeans, "_RUN", 16)
+    points = np.random.default_rng(3).uniform(0, 1, (4000, 2))
+    places = kmeans._positions(as_table(spark, points, x="longitude", y="latitude"), "longitude", "latitude")
+    held = places.coalesce(1).toPandas()
+    assert np.median(np.hypot(np.diff(held.x), np.diff(held.y))) < 0.05
+    centres = {(k, 0): np.random.default_rng(k).uniform(0, 1, (k, 2)) for k in (1, 2, 9)}
+    got = next(kmeans._sums(centres)(iter([held.iloc[:3000], held.iloc[3000:]])))
+    for (k, _), c in centres.items():
+        gap = (held.x.to_numpy()[:, None] - c[:, 0]) ** 2 + (held.y.to_numpy()[:, None] - c[:, 1]) ** 2
+        near, own = gap.argmin(axis=1), got[got.k == k]
+        for name, v in (("w", 1.0), ("wx", held.x), ("wy", held.y), ("cost", gap.min(axis=1))):
+            assert own[name].to_numpy() == pytest.approx(np.bincount(near, held.w * v, k))
