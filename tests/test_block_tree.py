@@ -105,3 +105,33 @@ def test_more_neighbours_than_points(spark, tall, monkeypatch):
     out = joins.nearest_neighbours(as_table(spark, points), as_table(spark, points), 60)
     assert out.count() == 40 * 40
     assert joins.nearest_neighbours(as_table(spark, points), as_table(spark, points).limit(0), 2).count() == 0
+
+
+def test_tiles_bound_how_often_blocks_travel(spark, monkeypatch):
+    """Many blocks are few tiles, so a block goes to few groups; the boxes in a task decide as those of the blocks did."""
+    for module, name, value in ((ripley, "RIPLEY_BLOCK", 8), (ripley, "RIPLEY_TILES", 4), (joins, "SEARCH_BLOCK", 8), (joins, "COUNT_TILES", 4)):
+        monkeypatch.setattr(module, name, value)
+    points = np.vstack([crowd(), crowd()[:40], crowd()[:1].repeat(200, axis=0)])
+    met = []
+    for module in (ripley, joins):
+        monkeypatch.setattr(module, "with_points", lambda pairs, *rest, own=module.with_points: met.append(pairs) or own(pairs, *rest))
+    radii = np.array([0.0001, 0.1, 0.5, 1.5])
+    d = gaps(points, points)
+    area = np.prod(points.max(0) - points.min(0))
+    out = {r.r: r.K for r in ripley.ripleys_k(as_table(spark, points, x="longitude", y="latitude"), radii).collect()}
+    assert [out[r] for r in radii] == pytest.approx([((d <= r) & (d > 0)).sum() / (len(points) / area * len(points)) for r in radii])
+    got = {r.query_id: r.neighbours for r in joins.count_within(as_table(spark, points), as_table(spark, points), 0.5).collect()}
+    assert [got[i] for i in range(len(points))] == (d <= 0.5).sum(axis=1).tolist()
+    assert met[0].count() <= 16 * 17 / 2 and met[1].count() <= 16 * 24
+
+
+def test_neighbours_by_tiles(spark, tall, monkeypatch):
+    """Blocks of queries that look for neighbours in one group share the blocks of data."""
+    monkeypatch.setattr(joins, "SMALL_QUERIES", 0)
+    monkeypatch.setattr(joins, "SEARCH_BLOCK", 8)
+    monkeypatch.setattr(joins, "tile_bits", lambda blocks, tiles: 3)
+    points = crowd()
+    out = joins.nearest_neighbours(as_table(spark, points), as_table(spark, points), 4).collect()
+    got = {(r.query_id, r.rank): r.distance for r in out}
+    want = np.sort(gaps(points, points), axis=1)[:, :4]
+    assert [[got[i, n + 1] for n in range(4)] for i in range(len(points))] == pytest.approx(want)
