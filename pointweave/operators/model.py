@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -18,6 +20,9 @@ from .contiguity import queen_neighbours, spatial_lag
 SEED = 42
 # Largest tree depth MLlib accepts; stands for "unlimited".
 MAX_DEPTH = 30
+# A fit runs thousands of short jobs, so a partition has many rows, and the fits of all folds run side by side.
+PARTITION_ROWS = 20_000
+FITS_TOGETHER = 6
 
 
 class Features(NamedTuple):
@@ -69,32 +74,52 @@ def _scaling(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, floa
 
 def _score(predictions: DataFrame, *metrics: str) -> list[float]:
     evaluator = RegressionEvaluator(labelCol="label", predictionCol="prediction")
-    return [evaluator.evaluate(predictions, {evaluator.metricName: m}) for m in metrics]
+    predicted = predictions.select("label", "prediction").persist()
+    try:
+        return [evaluator.evaluate(predicted, {evaluator.metricName: m}) for m in metrics]
+    finally:
+        predicted.unpersist()
+
+
+def _fold_score(data: DataFrame, estimator: Estimator, fold: int) -> tuple[int, float, float] | None:
+    training, held_out = data.filter(F.col("fold") != fold).persist(), data.filter(F.col("fold") == fold)
+    try:
+        if training.isEmpty() or held_out.isEmpty():
+            return None
+        return fold, *_score(estimator.fit(training).transform(held_out), "rmse", "r2")
+    finally:
+        training.unpersist()
+
+
+def _fold_scores(pool: ThreadPool, data: DataFrame, estimator: Estimator, folds: int, id: str, seed: int):
+    """Scores of all folds, once they are asked for; the fits are begun at once."""
+    folded = data.withColumn("fold", F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(folds)))
+    one = inheritable_thread_target(data.sparkSession)(lambda fold: _fold_score(folded, estimator, fold))
+    return pool.map_async(one, range(folds), chunksize=1)
+
+
+def _summarised(data: DataFrame, scores: list) -> DataFrame:
+    table = data.sparkSession.createDataFrame([s for s in scores if s is not None], "fold int, rmse double, r2 double")
+    return table.agg(F.avg("rmse").alias("cv_rmse_mean"), F.stddev_pop("rmse").alias("cv_rmse_std"), F.avg("r2").alias("cv_r2_mean"))
 
 
 def cross_validate(data: DataFrame, estimator: Estimator, folds: int, id: str, seed: int = SEED) -> DataFrame:
     """One row: mean and population deviation of the RMSE and mean R2 over folds assigned by a hash of the id."""
-    folded = data.withColumn("fold", F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(folds)))
-    rows = []
-    for fold in range(folds):
-        training, held_out = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        if training.isEmpty() or held_out.isEmpty():
-            continue
-        predicted = estimator.fit(training).transform(held_out)
-        rows.append((fold, *_score(predicted, "rmse", "r2")))
-    scores = data.sparkSession.createDataFrame(rows, "fold int, rmse double, r2 double")
-    return scores.agg(F.avg("rmse").alias("cv_rmse_mean"), F.stddev_pop("rmse").alias("cv_rmse_std"),
-                      F.avg("r2").alias("cv_r2_mean"))
+    with ThreadPool(FITS_TOGETHER) as pool:
+        return _summarised(data, _fold_scores(pool, data, estimator, folds, id, seed).get())
 
 
 def _train(features: Features, name: str, estimator: Estimator, folds: int, scale: bool, id: str) -> TrainedModel:
     scaling = _scaling(features.table, features.names) if scale else None
     assembler = VectorAssembler(inputCols=features.names, outputCol="features")
-    data = assembler.transform(_scaled(features.table, scaling)).persist()
+    parts = -(-max(1, features.table.count()) // PARTITION_ROWS)
+    data = assembler.transform(_scaled(features.table, scaling)).repartition(parts, id).sortWithinPartitions(id).persist()
     try:
-        validation = cross_validate(data, estimator, folds, id).first()
-        fitted = estimator.fit(data)
-        fit = _score(fitted.transform(data), "rmse", "mae", "r2")
+        with ThreadPool(FITS_TOGETHER) as pool:
+            scores = _fold_scores(pool, data, estimator, folds, id, SEED)
+            fitted = estimator.fit(data)
+            fit = _score(fitted.transform(data), "rmse", "mae", "r2")
+            validation = _summarised(data, scores.get()).first()
     finally:
         data.unpersist()
     spark = features.table.sparkSession
@@ -111,13 +136,13 @@ def _train(features: Features, name: str, estimator: Estimator, folds: int, scal
 def train_random_forest(features: Features, trees: int = 200, max_depth: int | None = None, folds: int = 5,
                         scale: bool = False, id: str = "GEOID") -> TrainedModel:
     forest = RandomForestRegressor(numTrees=trees, maxDepth=MAX_DEPTH if max_depth is None else max_depth,
-                                   featureSubsetStrategy="all", seed=SEED)
+                                   featureSubsetStrategy="all", seed=SEED, cacheNodeIds=True)
     return _train(features, "RandomForest", forest, folds, scale, id)
 
 
 def train_gradient_boosting(features: Features, rounds: int = 300, rate: float = 0.05, max_depth: int = 4,
                             folds: int = 5, id: str = "GEOID") -> TrainedModel:
-    boosting = GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=max_depth, seed=SEED)
+    boosting = GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=max_depth, seed=SEED, cacheNodeIds=True)
     return _train(features, "GradientBoosting", boosting, folds, False, id)
 
 

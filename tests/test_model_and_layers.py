@@ -1,4 +1,7 @@
+import threading
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
@@ -108,3 +111,17 @@ def test_model_queries_run_at_the_defaults(spark, monkeypatch):
     for name in ("random_forest_metrics", "gradient_boosting_importances", "risk_grid"):
         catalog.QUERIES[name](spark, "")
     assert seen == [[], [], [], []]
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    """Every fit waits until another one runs."""
+    both = threading.Barrier(2)
+
+    class Waiting:
+        def fit(self, data):
+            both.wait(60)
+            return LinearRegression().fit(data)
+
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(40).selectExpr("id", "double(id) x", "2.0 * id label"))
+    scores = model.cross_validate(data, Waiting(), 2, "id").first()
+    assert scores.cv_rmse_mean == pytest.approx(0, abs=1e-6) and scores.cv_r2_mean == pytest.approx(1)
