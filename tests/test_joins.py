@@ -18,6 +18,36 @@ def test_range_join_against_brute_force(cloud, cloud_table, radius):
     assert found == set(map(tuple, np.argwhere(dx * dx + dy * dy <= radius * radius).tolist()))
 
 
+@pytest.mark.parametrize("tiles", [256, 4])
+def test_range_join_of_two_tables_in_tiles(monkeypatch, spark, cloud, cloud_table, tiles):
+    monkeypatch.setattr(joins, "SEARCH_BLOCK", 8)
+    monkeypatch.setattr(joins, "RANGE_TILES", tiles)
+    other = mixed_points(120, 7)
+    queries = as_table(spark, np.vstack([other, other[:9]])).withColumn("name", F.concat(F.lit("q"), "id")).drop("id")
+    found = joins.range_join(queries, cloud_table, 0.2, query_id="name").collect()
+    distance = gaps(np.vstack([other, other[:9]]), cloud)
+    want = {(f"q{i}", j): distance[i, j] for i, j in np.argwhere(distance <= 0.2).tolist()}
+    assert len(found) == len(want) and {(r.query_id, r.data_id): r.distance for r in found} == want
+
+
+def test_range_join_keeps_rows_that_share_an_id_and_skips_points_without_a_place(spark):
+    rows = [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.5, 0.0), (3, float("inf"), 0.0), (4, None, 0.0), (5, 0.0, float("nan")),
+            (6, 0.0, float("-inf")), (None, 0.0, 0.0), (7, 1e300, 0.0)]
+    table = spark.createDataFrame(rows, "id bigint, x double, y double")
+    found = sorted((r.query_id, r.data_id) for r in joins.range_join(table, table, 1.0).collect())
+    assert found == [(1, 1)] * 4 + [(1, 2)] * 2 + [(2, 1)] * 2 + [(2, 2), (7, 7)]
+    assert joins.range_join(table.limit(0), table, 1.0).count() == joins.range_join(table, table.limit(0), 1.0).count() == 0
+
+
+def test_range_join_is_small_on_disk(spark, tmp_path):
+    points = np.random.default_rng(3).uniform(0, 0.1, (6000, 2))
+    table = as_table(spark, points).repartition(4).persist()
+    joins.range_join(table, table, 0.02).select("query_id", "data_id").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert pairs > 3_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < pairs
+
+
 def test_nothing_within_radius_zero(cloud_table):
     assert joins.range_join(cloud_table, cloud_table, 0).count() == 0
     assert joins.count_within(cloud_table, cloud_table, 0).agg(F.sum("neighbours")).first()[0] == 0
