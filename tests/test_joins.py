@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_table, mixed_points
 from pointweave.functions import geometry as G
+from pointweave.functions.columns import rounded_half_up
 from pointweave.operators import blocks, contiguity, joins
 
 
@@ -155,3 +156,20 @@ def test_rates(spark):
     people = spark.createDataFrame([("a", 2020, 3000), ("b", 2020, 0)], "county string, year int, population bigint")
     out = {r.county: r.crime_rate_100k for r in joins.crime_rate(counts, people).collect()}
     assert out == {"a": 166.67, "b": None, "c": None}
+
+
+def test_range_join_pairs_points_without_python(spark, cloud_table):
+    # A pair that passes through a Python worker costs several times what generated code takes for it.
+    plan = joins.range_join(cloud_table, cloud_table, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_rounding_without_decimals_is_what_round_returns(spark):
+    rng = np.random.default_rng(5)
+    near_ties = (rng.integers(0, 10**7, 3000) + 0.5) * 1e-9
+    values = [*rng.uniform(0, 0.01, 3000), *near_ties, *np.nextafter(near_ties, 0), *np.nextafter(near_ties, 1), *rng.uniform(-5, 2000, 1000),
+              0.0, -0.0, 1e300, 5e-324, 2.0**40 * 1e-9, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    for digits in (0, 4, 9):
+        same = F.round("v", digits).eqNullSafe(rounded_half_up(F.col("v"), digits))
+        assert rows.filter(~same).count() == 0
