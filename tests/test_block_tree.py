@@ -135,3 +135,34 @@ def test_neighbours_by_tiles(spark, tall, monkeypatch):
     got = {(r.query_id, r.rank): r.distance for r in out}
     want = np.sort(gaps(points, points), axis=1)[:, :4]
     assert [[got[i, n + 1] for n in range(4)] for i in range(len(points))] == pytest.approx(want)
+
+
+class Points:
+    def __init__(self, x, y):
+        self.xs, self.ys, self.carried = x, y, np.ones(len(x), "int64")
+
+    def __len__(self):
+        return len(self.xs)
+
+
+@pytest.mark.parametrize("lattice,far,size", [(True, 0.0, 1.0), (False, 0.0, 1.0), (True, 1e6, 1.0), (False, 100.0, 1e-6), (False, -3e8, 1e-3)])
+def test_products_of_matrices_count_the_pairs_between_radii_as_distances_do(monkeypatch, lattice, far, size):
+    rng = np.random.default_rng(11)
+    sides = []
+    for shift in (0.0, 2.0):
+        x, y = (np.sort(rng.uniform(0, size, 700)) for _ in range(2))
+        x = x + shift
+        if lattice:  # many distances equal to a radius
+            x, y = np.round(x * 40) / 40, np.round(y * 40) / 40
+        sides.append(Points(x + far, y + far))
+    a, b = sides
+    radii = np.asarray([1.0, 2.0, 2.0 + size / 8, 2.5, 5.0])
+    radii = np.unique(np.append(radii, np.hypot(a.xs[5] - b.xs[7], a.ys[5] - b.ys[7])))
+    seen, products = [], ripley._count_products
+    monkeypatch.setattr(ripley, "_count_products", lambda counts, a, b, i, *rest: (seen.append(len(i)), products(counts, a, b, i, *rest)))
+    found = ripley._pair_counts(a, b, radii, ripley._between_radii(radii))
+    dx, dy = a.xs[:, None] - b.xs[None, :], a.ys[:, None] - b.ys[None, :]
+    distance = np.sqrt(dx * dx + dy * dy).ravel()
+    want = np.bincount(np.searchsorted(radii, distance, side="left"), minlength=len(radii) + 1)
+    assert found[:-1].tolist() == (2 * want[:-1]).tolist()
+    assert sum(seen) > 0 or size < 1
